@@ -23,6 +23,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_conversations, linear_messages
 
@@ -37,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_token_counts": op3_token_counts,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_near_dup": op10_near_dup,
     }
 
 
@@ -82,5 +89,23 @@ FROM x GROUP BY conv_id
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_shingles FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)),
+reach(doc, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc, min(other) AS component_id FROM reach GROUP BY doc)
+SELECT d.doc_id, coalesce(n.n_shingles, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op9_chat_formatting": OP9_SQL, "op10_near_dup": OP10_SQL}
