@@ -23,6 +23,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.selectExpr("cast(doc_id as long) doc_id", "n_words", "n_removed", "sha2(kept_text, 256) kept_sha256")
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -42,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_token_counts": op3_token_counts,
+        "op5_substring_dedup": op5_substring_dedup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_near_dup": op10_near_dup,
     }
@@ -89,6 +97,21 @@ FROM x GROUP BY conv_id
 """
 
 
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM words WHERE len(w) >= 35),
+hashed AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM win),
+again AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM hashed SEMI JOIN again USING (h)),
+gl AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+x AS (SELECT doc_id, w, coalesce(ps, []) AS ps FROM words LEFT JOIN gl USING (doc_id)),
+k AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT k.doc_id, string_agg(t, ' ' ORDER BY k.p) AS s FROM k ANTI JOIN gone g ON k.doc_id = g.doc_id AND k.p = g.p GROUP BY k.doc_id)
+SELECT x.doc_id, len(x.w)::BIGINT AS n_words, len(x.ps)::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM x LEFT JOIN kept ON kept.doc_id = x.doc_id
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -108,4 +131,4 @@ FROM documents d JOIN least l ON l.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op9_chat_formatting": OP9_SQL, "op10_near_dup": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op10_near_dup": OP10_SQL}
