@@ -30,6 +30,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("cast(doc_id as long) doc_id", "n_words", "n_removed", "sha2(kept_text, 256) kept_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_token_counts": op3_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_near_dup": op10_near_dup,
