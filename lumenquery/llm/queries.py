@@ -23,6 +23,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).selectExpr("cast(doc_id as long) doc_id", "lang_id", "posterior", "accepted")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify_pages
+
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).select("page_id", "url", "lang_id", "posterior", "accepted")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -61,6 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_token_counts": op3_token_counts,
+        "op4_language_id": op4_language_id,
+        "language_id_pages": language_id_pages,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
