@@ -42,6 +42,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("cast(doc_id as long) doc_id", "n_words", "n_removed", "sha2(kept_text, 256) kept_sha256")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_main import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "language_id_pages": language_id_pages,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_html_extraction": op6_html_extraction,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_chat_formatting": op9_chat_formatting,
