@@ -34,6 +34,8 @@ BINS = BANDS * ROWS
 BLOCK = 256
 #: How far below the threshold (in shared bins) a pair may be and still be checked on full sets.
 SLACK = 0.2
+#: Ids of removed rows that may be broadcast (8 bytes each) to spare the texts a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 #: For each bin the order in which an empty one asks the others.
@@ -181,3 +183,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = b.column(1)
         sigs = [as_long(signature(np.asarray(col[i].values).view(np.uint64))) for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.list_(pa.int64()))], names=["cls", "vals"])
+
+
+def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns.
+
+    Rows of one doc_id are one document and go or stay together; rows with a null id go only
+    where a row with an id is in their group.
+    """
+    gone = cut(near_duplicates(docs.select("doc_id", "text"), percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")

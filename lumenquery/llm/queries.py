@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .io import table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -77,6 +83,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest": op1_nearest,
         "op2_mixing": op2_mixing,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
