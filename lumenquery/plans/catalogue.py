@@ -1,15 +1,442 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine, each beside its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import media as M
+from ..functions import text as T
+from ..functions.vectors import cosine_distance, dot, l2_normalise
+from ..operators import cluster, dupes, library, places, search, signal, store, timeline
+from ..sources import tables as S
+from ..streaming import jobs
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+#: A query vector that every table size shares: cosines of its index.
+QUERY_VECTOR = [round(((i * 37) % 64 - 31.5) / 64, 6) for i in range(64)]
+_QV = "[" + ",".join(str(x) for x in QUERY_VECTOR) + "]::DOUBLE[]"
+SPOKEN = 'thon "erou" est'
+_TERMS = ["thon", "erou", "est"]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _assets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as assets with their customer's place."""
+    o, c, n, r = (S.table(spark, d, x) for x in ("orders", "customer", "nation", "region"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("o_orderkey").alias("asset_id"), F.col("o_orderdate").alias("date_taken"), F.col("o_orderdate").alias("imported_at"), F.when(F.col("o_orderstatus") == "F", "video/mp4").otherwise("image/jpeg").alias("mime_type"),
+        F.col("c_name").alias("place"), F.col("n_name").alias("admin1"), F.col("r_name").alias("country_name"), F.col("o_totalprice").alias("size"),
+    )
+
+
+_ASSETS = """assets AS (SELECT o_orderkey AS asset_id, o_orderdate AS taken, CASE WHEN o_orderstatus = 'F' THEN 'video/mp4' ELSE 'image/jpeg' END AS mime, c_name AS place, n_name AS admin1, r_name AS country, o_totalprice AS size
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+# ---- search ----
+
+
+@query("vector_topk", f"SELECT vec_id AS asset_id, round(list_inner_product(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings ORDER BY list_inner_product(embedding::DOUBLE[], {_QV}) DESC, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    pool = S.images(spark, d).select("asset_id", F.lit(None).cast("double").alias("ts_secs"), "vector")
+    return search.vector_topk(pool, QUERY_VECTOR, 10).select("asset_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_topk_filtered", f"SELECT vec_id AS asset_id, round(list_inner_product(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings WHERE label IN (1, 3) ORDER BY list_inner_product(embedding::DOUBLE[], {_QV}) DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    img = S.images(spark, d)
+    pool = img.select("asset_id", F.lit(None).cast("double").alias("ts_secs"), "vector")
+    return search.vector_topk(pool, QUERY_VECTOR, 10, img.where("label in (1, 3)").select("asset_id")).select("asset_id", F.round("score", 6).alias("score"))
+
+
+_BEST = f"""best AS (SELECT vec_id // 5 AS asset_id, max(list_inner_product(embedding::DOUBLE[], {_QV})) AS score, arg_max((vec_id % 5)::DOUBLE, list_inner_product(embedding::DOUBLE[], {_QV})) AS ts_secs FROM embeddings GROUP BY 1)"""
+
+
+@query("best_frame_per_asset", f"WITH {_BEST} SELECT asset_id, ts_secs, round(score, 6) AS score FROM best ORDER BY best.score DESC, asset_id LIMIT 20")
+def best_frame_per_asset(spark, d):
+    return search.vector_topk(S.frames(spark, d), QUERY_VECTOR, 20).select("asset_id", "ts_secs", F.round("score", 6).alias("score"))
+
+
+_BM25 = (
+    "seg AS (SELECT conv_id AS asset_id, turn * 5.0::DOUBLE AS ts_secs, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS tok FROM conversations), "
+    "tf AS (SELECT asset_id, ts_secs, text, len(tok) AS n, " + ", ".join(f"len(list_filter(tok, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(_TERMS)) + " FROM seg), "
+    "st AS (SELECT count(*) AS nn, avg(n) AS av, " + ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(3)) + " FROM tf), "
+    "ranked AS (SELECT asset_id, ts_secs, text, -(" + " + ".join(f"greatest(ln((nn - df{i} + 0.5) / (df{i} + 0.5)), 0.000001) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / av))" for i in range(3)) + ") AS bm25 FROM tf, st WHERE tf0 + tf1 + tf2 > 0)"
+)
+
+
+@query("bm25_search", f"WITH {_BM25} SELECT asset_id, ts_secs, round(bm25, 6) AS bm25 FROM ranked ORDER BY ranked.bm25, asset_id, ts_secs LIMIT 50")
+def bm25_search(spark, d):
+    return search.bm25(S.transcripts(spark, d), SPOKEN).orderBy("bm25", "asset_id", "ts_secs").limit(50).select("asset_id", "ts_secs", F.round("bm25", 6).alias("bm25"))
+
+
+_SPOKEN = "top AS (SELECT * FROM ranked ORDER BY bm25, asset_id, ts_secs LIMIT 50), spoken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY bm25, ts_secs) AS r FROM top) WHERE r = 1 ORDER BY bm25, asset_id LIMIT 10)"
+
+
+@query("bm25_best_segment", f"WITH {_BM25}, {_SPOKEN} SELECT asset_id, ts_secs, round(bm25, 6) AS bm25 FROM spoken")
+def bm25_best_segment(spark, d):
+    return search.spoken_hits(S.transcripts(spark, d), SPOKEN, 10).select("asset_id", "ts_secs", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {_BM25}, {_SPOKEN}, {_BEST}, sem AS (SELECT * FROM best ORDER BY score DESC, asset_id LIMIT 10),
+    u AS (SELECT asset_id, ts_secs AS frame_ts, 0.35::DOUBLE AS score, text AS speech, 0 AS src, bm25 AS k FROM spoken
+          UNION ALL SELECT asset_id, ts_secs, score, NULL, 1, -score FROM sem WHERE asset_id NOT IN (SELECT asset_id FROM spoken))
+    SELECT asset_id, frame_ts, round(score, 6) AS score, speech, row_number() OVER (ORDER BY src, k, asset_id)::INT AS rank FROM u ORDER BY src, k, asset_id LIMIT 10""",
+)
+def hybrid_search(spark, d):
+    semantic = search.vector_topk(S.frames(spark, d), QUERY_VECTOR, 10)
+    return search.hybrid(semantic, search.spoken_hits(S.transcripts(spark, d), SPOKEN, 10), 10).select("asset_id", "frame_ts", F.round("score", 6).alias("score"), "speech", "rank")
+
+
+@query("filtered_assets", f"WITH {_ASSETS} SELECT asset_id FROM assets WHERE taken >= '1995-03-01' AND taken < '1997-01-01' AND mime LIKE 'image/%' AND (place ILIKE '%asia%' OR admin1 ILIKE '%asia%' OR country ILIKE '%asia%') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = asset_id AND l_returnflag = 'R')")
+def filtered_assets(spark, d):
+    people = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.col("l_returnflag").alias("name"))
+    return search.allowed_assets(_assets(spark, d), search.Filters(person="r", after="1995-03-01", before="1997-01-01", place="asia", kind="image"), people)
+
+
+@query(
+    "retrieval_eval",
+    """WITH q AS (SELECT a.vec_id AS qid, a.embedding::DOUBLE[] AS v, (a.vec_id + 7) % (SELECT count(*) FROM embeddings) AS target FROM embeddings a WHERE a.vec_id % 25 = 0),
+    s AS (SELECT qid, target, v, list_inner_product(v, e.embedding::DOUBLE[]) AS own FROM q JOIN embeddings e ON e.vec_id = target),
+    r AS (SELECT qid, 1 + count(*) FILTER (round(list_inner_product(v, e.embedding::DOUBLE[]), 12) > round(own, 12)) AS rank FROM s JOIN embeddings e ON e.vec_id <> target GROUP BY qid)
+    SELECT count(*) AS n, round(avg((rank <= 1)::INT), 6) AS recall_1, round(avg((rank <= 5)::INT), 6) AS recall_5, round(avg((rank <= 10)::INT), 6) AS recall_10, round(avg(1.0 / rank), 6) AS mrr FROM r""",
+)
+def retrieval_eval(spark, d):
+    img = S.images(spark, d)
+    n = img.count()
+    q = img.where("asset_id % 25 = 0").select(F.col("asset_id").alias("query_id"), ((F.col("asset_id") + 7) % n).alias("target"), "vector")
+    out = search.retrieval_eval(q, img)
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mrr")])
+
+
+# ---- catalogue ----
+
+
+@query(
+    "library_stats",
+    """SELECT count(*) AS total, count(*) FILTER (lang IN ('en', 'de')) AS images, count(*) FILTER (lang NOT IN ('en', 'de')) AS videos, count(*) FILTER (d.doc_id % 4 = 0) AS located,
+    count(*) FILTER (l.doc_id IS NOT NULL) AS embedded, count(*) FILTER (c.conv_id IS NOT NULL) AS scanned, coalesce(sum(n_chars), 0)::BIGINT AS bytes, min(TIMESTAMP '2020-01-01' + to_days((d.doc_id % 900)::INT)) AS first_taken, max(TIMESTAMP '2020-01-01' + to_days((d.doc_id % 900)::INT)) AS last_taken
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) c ON c.conv_id = d.doc_id""",
+)
+def library_stats(spark, d):
+    a = S.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.when(F.col("lang").isin("en", "de"), "image/jpeg").otherwise("video/mp4").alias("mime_type"), F.when(F.col("doc_id") % 4 == 0, 1.0).alias("latitude"), F.col("n_chars").alias("file_size"), F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, cast(doc_id % 900 as int))").alias("date_taken"))
+    return library.library_stats(a, S.table(spark, d, "labels").select(F.col("doc_id").alias("asset_id")), S.table(spark, d, "conversations").select(F.col("conv_id").alias("asset_id")))
+
+
+@query("resolve_asset", "SELECT doc_id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 7)")
+def resolve_asset(spark, d):
+    a = S.table(spark, d, "documents").select("doc_id", F.lit("").alias("id"), F.sha2("text", 256).alias("hash"), F.lit("").alias("storage_path"), F.lit("").alias("original_filename"))
+    needle = a.where("doc_id = 7").first()["hash"]
+    return library.resolve(a, needle.upper()).select("doc_id")
+
+
+@query("unembedded_queue", "SELECT doc_id AS asset_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def unembedded_queue(spark, d):
+    return library.queue(S.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), "source"), S.table(spark, d, "labels").select(F.col("doc_id").alias("asset_id")))
+
+
+@query("unprocessed_distinct_queue", "SELECT o_orderkey AS asset_id, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def unprocessed_distinct_queue(spark, d):
+    return library.queue(S.table(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), "o_orderstatus"), S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id")))
+
+
+_FACES = "faces AS (SELECT vec_id AS face_id, vec_id // 3 AS asset_id, CASE WHEN vec_id % 3 = 0 THEN label::BIGINT END AS person_id, 0.5 + (vec_id % 50) / 100.0 AS score, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 2 = 0 THEN 'auto' ELSE 'user' END AS source FROM embeddings)"
+
+
+def _people(spark, d):
+    return S.table(spark, d, "embeddings").select(F.col("label").cast("long").alias("person_id")).distinct().select("person_id", F.concat(F.lit("person "), F.col("person_id").cast("string")).alias("name"), F.when(F.col("person_id") == 2, F.lit(0)).cast("long").alias("merged_into"))
+
+
+@query("persons_list", f"WITH {_FACES} SELECT person_id, 'person ' || person_id AS name, count(*) AS n_faces, arg_min(face_id, [-score, face_id]) AS cover_face FROM faces WHERE person_id IS NOT NULL AND person_id <> 2 GROUP BY person_id")
+def persons_list(spark, d):
+    return library.persons(_people(spark, d), S.faces(spark, d))
+
+
+@query("faces_for_person", f"WITH {_FACES} SELECT face_id, f.asset_id, round(score, 6) AS score, source FROM (SELECT face_id, asset_id, score FROM faces WHERE person_id = 1) f JOIN documents d ON d.doc_id = f.asset_id")
+def faces_for_person(spark, d):
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), "source")
+    return library.faces_of(1, S.faces(spark, d), docs).select("face_id", "asset_id", F.round("score", 6).alias("score"), "source")
+
+
+@query("people_in_asset", f"WITH {_FACES} SELECT person_id, 'person ' || person_id AS name, round(max(score), 6) AS score FROM faces WHERE asset_id = 4 AND person_id IS NOT NULL GROUP BY person_id")
+def people_in_asset(spark, d):
+    return library.people_in(4, S.faces(spark, d), _people(spark, d)).select("person_id", "name", F.round("score", 6).alias("score"))
+
+
+@query("exact_dupes", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_dupes(spark, d):
+    return S.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("import_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0) AND doc_id = min(doc_id) OVER (PARTITION BY text) THEN 'imported' ELSE 'duplicate' END AS outcome FROM documents WHERE doc_id % 10 <> 0) GROUP BY outcome")
+def import_outcomes(spark, d):
+    t = S.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("hash"))
+    return library.import_outcomes(t.where("key % 10 = 0"), t.where("key % 10 <> 0")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("recent_page", "SELECT o_orderkey AS asset_id, o_orderdate AS imported_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 48 OFFSET 96")
+def recent_page(spark, d):
+    return library.page(S.table(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), F.col("o_orderdate").alias("imported_at")), 3)
+
+
+@query(
+    "date_tree",
+    """SELECT year, month, o_orderkey AS id, CASE WHEN r > 1 THEN 'img' || (o_custkey % 5) || '-' || left(o_orderkey::VARCHAR, 8) || '.jpg' ELSE 'img' || (o_custkey % 5) || '.jpg' END AS name
+    FROM (SELECT *, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, row_number() OVER (PARTITION BY year(o_orderdate), month(o_orderdate), o_custkey % 5 ORDER BY o_orderdate, o_orderkey) AS r FROM orders)""",
+)
+def date_tree(spark, d):
+    a = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date_taken"), F.lit(None).cast("timestamp").alias("imported_at"), F.concat(F.lit("img"), (F.col("o_custkey") % 5).cast("string"), F.lit(".jpg")).alias("name"))
+    return library.date_tree(a)
+
+
+@query("orphan_verify", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' WHEN d.doc_id % 7 <> l.doc_id % 7 + quality * 0 OR l.toxic = 1 THEN 'corrupt' ELSE 'ok' END AS state FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id) GROUP BY state")
+def orphan_verify(spark, d):
+    rows = S.table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.lit(0).alias("hash"))
+    return library.verify(rows, S.table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.col("toxic").alias("hash"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("removal_manifest", "WITH a AS (SELECT doc_id AS asset_id, 'store/' || doc_id AS p, sha256(text) AS h FROM documents WHERE doc_id % 50 = 0), s AS (SELECT *, substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h AS hh FROM a) SELECT asset_id, p AS path FROM s UNION ALL SELECT asset_id, '.thumbs/s/' || hh || '.jpg' FROM s UNION ALL SELECT asset_id, '.thumbs/m/' || hh || '.jpg' FROM s UNION ALL SELECT asset_id, '.playback/' || hh || '.mp4' FROM s UNION ALL SELECT vec_id // 3, '.faces/' || vec_id || '.jpg' FROM embeddings WHERE vec_id // 3 IN (SELECT asset_id FROM a)")
+def removal_manifest(spark, d):
+    a = S.table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("asset_id"), F.concat(F.lit("store/"), F.col("doc_id").cast("string")).alias("storage_path"), F.sha2("text", 256).alias("hash"))
+    return library.removal_manifest(a, S.faces(spark, d))
+
+
+# ---- near duplicates and identities ----
+
+THRESHOLD = 0.40
+
+
+@query("near_dup_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {THRESHOLD}")
+def near_dup_pairs(spark, d):
+    return dupes.similar_pairs(S.images(spark, d), THRESHOLD).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("near_dup_groups", f"WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {THRESHOLD}), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS asset_id, min(y) AS group_id FROM r GROUP BY x")
+def near_dup_groups(spark, d):
+    return dupes.groups(dupes.similar_pairs(S.images(spark, d), THRESHOLD))
+
+
+_FRAMES = "f AS (SELECT vec_id // 5 AS a, vec_id % 5 AS t, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a, count(*) AS n FROM f GROUP BY a)"
+
+
+@query("video_similarity", f"WITH {_FRAMES}, m AS (SELECT x.a AS a, y.a AS b, x.t, max(list_inner_product(x.v, y.v)) AS best FROM f x JOIN f y ON x.a < y.a GROUP BY ALL) SELECT a, b, round(avg(best), 6) AS score FROM m GROUP BY a, b HAVING avg(best) >= 0.22")
+def video_similarity(spark, d):
+    return dupes.video_similarity(S.frames(spark, d), 0.22).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("similarity_graph_degree", f"WITH {_FACES} SELECT a.face_id AS face_id, count(*) AS degree FROM faces a JOIN faces b ON a.face_id <> b.face_id WHERE a.person_id IS NULL AND b.person_id IS NULL AND list_inner_product(a.v, b.v) >= {THRESHOLD} GROUP BY 1")
+def similarity_graph_degree(spark, d):
+    f = S.faces(spark, d).where("person_id is null").select(F.col("face_id").alias("asset_id"), "vector")
+    return dupes.similar_pairs(f, THRESHOLD).select(F.explode(F.array("a", "b")).alias("face_id")).groupBy("face_id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query(
+    "exemplar_attach",
+    f"WITH {_FACES}, e AS (SELECT person_id, v FROM faces WHERE person_id IS NOT NULL AND face_id % 5 = 0), c AS (SELECT u.face_id, e.person_id, 1 - list_inner_product(u.v, e.v) AS dist FROM faces u, e WHERE u.person_id IS NULL AND NOT (u.face_id % 11 = 0 AND e.person_id = 1)), b AS (SELECT face_id, person_id, dist, row_number() OVER (PARTITION BY face_id ORDER BY dist, person_id) AS r FROM c WHERE dist <= 0.8) SELECT face_id, person_id, round(dist, 6) AS distance FROM b WHERE r = 1",
+)
+def exemplar_attach(spark, d):
+    f = S.faces(spark, d)
+    no = f.where("face_id % 11 = 0").select("face_id", F.lit(1).cast("long").alias("person_id"))
+    return cluster.attach(f.where("person_id is null"), f.where("person_id is not null and face_id % 5 = 0"), no, 0.8).select("face_id", "person_id", F.round("distance", 6).alias("distance"))
+
+
+@query("exemplars")
+def exemplars(spark, d):
+    return cluster.exemplars(S.faces(spark, d)).select("person_id", "face_id")
+
+
+@query("propose_people")
+def propose_people(spark, d):
+    f = S.faces(spark, d).where("person_id is null")
+    must = f.where("face_id % 40 = 1").select(F.col("face_id").alias("face_a"), (F.col("face_id") + 3).alias("face_b"))
+    bar = f.where("face_id % 40 = 2").select(F.col("face_id").alias("face_a"), (F.col("face_id") + 3).alias("face_b"))
+    return cluster.propose(f, must, bar, cluster.Params(link=0.62))
+
+
+@query("reassign_guarded", f"WITH {_FACES} SELECT face_id, CASE WHEN face_id % 4 = 0 AND source <> 'user' THEN 9 WHEN face_id % 7 = 1 THEN 8 ELSE person_id END AS person_id, CASE WHEN face_id % 4 = 0 AND source <> 'user' THEN 'auto' WHEN face_id % 7 = 1 THEN 'user' ELSE source END AS assignment_source FROM faces")
+def reassign_guarded(spark, d):
+    f = S.faces(spark, d)
+    a = f.where("face_id % 4 = 0").select("face_id", F.lit(9).cast("long").alias("person_id"), F.lit("auto").alias("source"))
+    b = f.where("face_id % 7 = 1 and face_id % 4 <> 0").select("face_id", F.lit(8).cast("long").alias("person_id"), F.lit("user").alias("source"))
+    return store.assign_faces(f, a.unionByName(b)).select("face_id", "person_id", "assignment_source")
+
+
+@query("merge_persons", f"WITH {_FACES} SELECT CASE WHEN person_id = 3 THEN 1 ELSE person_id END AS person_id, count(*) AS n FROM faces WHERE person_id IS NOT NULL GROUP BY 1")
+def merge_persons(spark, d):
+    f, _ = store.merge_persons(S.faces(spark, d), _people(spark, d), 3, 1)
+    return f.where("person_id is not null").groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("reject_faces", f"WITH {_FACES} SELECT face_id, CASE WHEN face_id % 6 = 0 AND person_id = 1 THEN NULL ELSE person_id END AS person_id, CASE WHEN face_id % 6 = 0 AND person_id = 1 THEN 'auto' ELSE source END AS assignment_source FROM faces")
+def reject_faces(spark, d):
+    f = S.faces(spark, d)
+    return store.reject_faces(f, f.where("face_id % 6 = 0").select("face_id", F.lit(1).cast("long").alias("person_id"))).select("face_id", "person_id", "assignment_source")
+
+
+@query("canonical_links", "WITH l AS (SELECT l_partkey AS x, l_suppkey AS y, l_linenumber % 2 AS k, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey <> l_suppkey) SELECT least(x, y) AS face_a, greatest(x, y) AS face_b, arg_max(k, seq)::INT AS must_link FROM l GROUP BY 1, 2")
+def canonical_links(spark, d):
+    t = S.table(spark, d, "lineitem").select(F.col("l_partkey").alias("face_a"), F.col("l_suppkey").alias("face_b"), (F.col("l_linenumber") % 2).alias("must_link"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return store.canonical_links(t)
+
+
+@query("upsert_replace", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def upsert_replace(spark, d):
+    o = S.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return store.upsert(o, o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("new")), ["o_orderkey"])
+
+
+@query("delete_cascade", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def delete_cascade(spark, d):
+    gone = S.table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    left = store.delete_cascade(gone, {"lines": S.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")}, "o_orderkey")
+    return left["lines"].agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").cast("long").alias("s"))
+
+
+# ---- places ----
+
+
+@query(
+    "nearest_place",
+    """WITH p AS (SELECT c_custkey AS key, (c_custkey * 37 % 17000) / 100.0 - 85 AS lat, (c_custkey * 91 % 35900) / 100.0 - 179 AS lon FROM customer),
+    c AS (SELECT s_suppkey AS line_no, s_name AS place, (s_suppkey * 53 % 17000) / 100.0 - 85 AS lat, (s_suppkey * 71 % 35900) / 100.0 - 179 AS lon FROM supplier),
+    x AS (SELECT key, line_no, place, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2)))) AS d FROM p, c)
+    SELECT key, arg_min(line_no, [d, line_no]) AS line_no, arg_min(place, [d, line_no]) AS place, round(min(d), 3) AS distance_m FROM x GROUP BY key""",
+)
+def nearest_place(spark, d):
+    p = S.table(spark, d, "customer").selectExpr("c_custkey key", "(c_custkey * 37 % 17000) / 100.0D - 85 lat", "(c_custkey * 91 % 35900) / 100.0D - 179 lon")
+    c = S.table(spark, d, "supplier").selectExpr("s_suppkey line_no", "s_name place", "(s_suppkey * 53 % 17000) / 100.0D - 85 lat", "(s_suppkey * 71 % 35900) / 100.0D - 179 lon")
+    return places.nearest_place(p, c).select("key", "line_no", "place", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("place_lookup_fallback", "SELECT c_custkey AS key, coalesce(r_name, 'R' || (c_nationkey % 7)) AS country, coalesce(n_name, c_nationkey::VARCHAR) AS region FROM customer LEFT JOIN region ON 'R' || (c_nationkey % 7) = 'R' || r_regionkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON n_nationkey = c_nationkey")
+def place_lookup_fallback(spark, d):
+    rows = S.table(spark, d, "customer").selectExpr("c_custkey key", "concat('R', c_nationkey % 7) cc", "cast(c_nationkey as string) admin1")
+    countries = S.table(spark, d, "region").selectExpr("concat('R', r_regionkey) cc", "r_name name")
+    regions = S.table(spark, d, "nation").where("n_nationkey % 4 <> 0").selectExpr("concat('R', n_nationkey % 7) cc", "cast(n_nationkey as string) admin1", "n_name name")
+    return places.place_names(rows, countries, regions)
+
+
+# ---- media columns ----
+
+_DUR = "(o_orderkey % 97) / 2.0"
+
+
+@query("even_samples", f"WITH t AS (SELECT o_orderkey AS asset_id, {_DUR} AS d FROM orders), n AS (SELECT *, greatest(1, least(5, floor(d / 2 + 0.5)))::INT AS n FROM t) SELECT asset_id, unnest(CASE WHEN d <= 0 THEN [0.0] WHEN n = 1 THEN [round(d / 2, 6)] ELSE list_transform(range(n), lambda i: round(d * (0.1 + 0.8 * i / (n - 1)), 6)) END)::DOUBLE AS ts FROM n")
+def even_samples(spark, d):
+    t = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), ((F.col("o_orderkey") % 97) / 2.0).alias("d"))
+    return t.select("asset_id", F.explode(M.even_samples(F.col("d"))).alias("ts")).select("asset_id", F.round("ts", 6).alias("ts"))
+
+
+_SCENES = "sc AS (SELECT l_orderkey AS asset_id, list(DISTINCT l_quantity) AS s FROM lineitem GROUP BY 1), v AS (SELECT o_orderkey AS asset_id, 60.0::DOUBLE AS d, coalesce(s, []) AS s FROM orders LEFT JOIN sc ON asset_id = o_orderkey)"
+
+
+def _scenes(spark, d):
+    sc = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(F.array_sort(F.collect_set("l_quantity")).alias("s"))
+    return S.table(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), F.lit(60.0).alias("d")).join(sc, "asset_id", "left").select("asset_id", "d", F.coalesce("s", F.array().cast("array<double>")).alias("s"))
+
+
+@query("scene_samples", f"WITH {_SCENES}, b AS (SELECT asset_id, unnest(list_sort(list_concat([0.0, d], list_filter(s, lambda x: x > 0 AND x < d)))) AS t FROM v), sh AS (SELECT asset_id, t AS a, lead(t) OVER (PARTITION BY asset_id ORDER BY t) AS b FROM b) SELECT asset_id, round((a + b) / 2, 6) AS ts FROM sh WHERE b - a >= 0.5 QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY b - a DESC, a) <= 12")
+def scene_samples(spark, d):
+    return _scenes(spark, d).select("asset_id", F.explode(M.scene_samples(F.col("d"), F.col("s"))).alias("ts")).select("asset_id", F.round("ts", 6).alias("ts"))
+
+
+@query("shot_bounds_asof", f"WITH {_SCENES} SELECT asset_id, coalesce(list_max(list_filter(s, lambda x: x <= 22.5)), 0.0) AS shot_start, coalesce(list_min(list_filter(s, lambda x: x > 22.5)), d) AS shot_end FROM v")
+def shot_bounds_asof(spark, d):
+    return _scenes(spark, d).select("asset_id", M.shot_bounds(F.lit(22.5), F.col("d"), F.col("s")).alias("b")).select("asset_id", F.col("b.start").alias("shot_start"), F.col("b.end").alias("shot_end"))
+
+
+@query("playback_policy", "SELECT p_partkey, CASE WHEN (m = 'video/mp4' AND c IN ('h264', 'vp9', 'av1')) OR (m = 'video/webm' AND c IN ('vp8', 'vp9', 'av1')) OR (m = 'video/quicktime' AND c = 'h264') THEN 'none' WHEN c IN ('h264', 'vp8', 'vp9', 'av1') THEN 'remux' ELSE 'reencode' END AS action FROM (SELECT p_partkey, ['h264', 'hevc', 'vp9', 'av1', 'vp8', 'mpeg4'][(p_size % 6)::INT + 1] AS c, ['video/mp4', 'video/webm', 'video/quicktime', 'video/x-msvideo'][(p_partkey % 4)::INT + 1] AS m FROM part)")
+def playback_policy(spark, d):
+    t = S.table(spark, d, "part").selectExpr("p_partkey", "array('h264', 'hevc', 'vp9', 'av1', 'vp8', 'mpeg4')[p_size % 6] c", "array('video/mp4', 'video/webm', 'video/quicktime', 'video/x-msvideo')[cast(p_partkey % 4 as int)] m")
+    return t.select("p_partkey", M.playback_action(F.col("c"), F.col("m")).alias("action"))
+
+
+@query("format_columns", "SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0::DOUBLE) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE printf('%d B', b) END AS size, 'file://' || replace('/a b/' || o_orderpriority, ' ', '%20') AS url FROM (SELECT *, o_orderkey * o_orderkey * 7 AS b FROM orders)")
+def format_columns(spark, d):
+    return S.table(spark, d, "orders").select("o_orderkey", T.format_bytes_cli(F.col("o_orderkey") * F.col("o_orderkey") * 7).alias("size"), T.file_url(F.concat(F.lit("/a b/"), "o_orderpriority")).alias("url"))
+
+
+@query("vector_functions", "WITH t AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(list_inner_product(a, b), 6) AS dot, round(1 - list_inner_product(a, b), 6) AS distance, round(sqrt(list_inner_product(a, a)), 6) AS norm FROM t")
+def vector_functions(spark, d):
+    e = S.table(spark, d, "embeddings")
+    t = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    unit = l2_normalise(F.col("embedding"))
+    return t.select("vec_id", F.round(dot(F.col("embedding"), F.col("b")), 6).alias("dot"), F.round(cosine_distance(F.col("embedding"), F.col("b")), 6).alias("distance"), F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(unit, unit)), 6).alias("norm"))
+
+
+@query("json_tail", "SELECT (props ->> '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")
+def json_tail(spark, d):
+    return S.table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- time lines ----
+
+
+@query("running_plan", "WITH t AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank, 1 + o_orderkey % 7 * 1.5::DOUBLE AS duration FROM orders), r AS (SELECT *, sum(duration) OVER (PARTITION BY k ORDER BY rank) AS total FROM t) SELECT k, rank::INT AS rank, duration, total, total - duration AS offset FROM r WHERE total <= 20 OR rank = 1")
+def running_plan(spark, d):
+    t = S.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("rank"), (1 + F.col("o_orderkey") % 7 * 1.5).alias("duration"))
+    return timeline.running_plan(t, "k", 20.0).select("k", "rank", "duration", "total", "offset")
+
+
+@query(
+    "high_energy_spans",
+    """WITH h AS (SELECT user_id % 5 AS k, epoch(ts)::BIGINT // 86400 AS t, sum(value) AS v FROM events GROUP BY 1, 2), q AS (SELECT k, list_sort(list(v)) AS s, count(*) AS n FROM h GROUP BY k),
+    p AS (SELECT k, s[n // 10 + 1] AS quiet, s[4 * n // 5 + 1] AS loud FROM q), hot AS (SELECT h.k, t, t - row_number() OVER (PARTITION BY h.k ORDER BY t) AS g FROM h JOIN p ON h.k = p.k WHERE quiet > 1e-9 AND loud >= 1.3 * quiet AND v > sqrt(quiet * loud))
+    SELECT k, min(t) AS start, max(t) + 1 AS "end" FROM hot GROUP BY k, g HAVING max(t) + 1 - min(t) >= 3""",
+)
+def high_energy_spans(spark, d):
+    h = S.table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("k"), F.floor(F.unix_timestamp("ts") / 86400).alias("t")).agg(F.sum("value").alias("v"))
+    return signal.level_spans(h, "k", "t", "v")
+
+
+@query("tumbling_energy", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_energy(spark, d):
+    return jobs.tumbling(S.table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("sliding_energy", "SELECT start, count(*) AS n FROM (SELECT unnest(list_transform(range(4), lambda i: time_bucket(INTERVAL 15 minute, ts) - to_minutes((15 * i)::INT))) AS start FROM events) GROUP BY start")
+def sliding_energy(spark, d):
+    return jobs.sliding(S.table(spark, d, "events"))
+
+
+@query("sessionize", "WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 minute THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, g")
+def sessionize(spark, d):
+    return jobs.sessions(S.table(spark, d, "events"))
+
+
+@query("speech_timeline")
+def speech_timeline(spark, d):
+    """Spans over each asset's transcript, as one row per span."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_secs")
+        spans = timeline.speech_spans(list(zip(pdf["ts_secs"], pdf["end_secs"], pdf["text"], strict=True)), float(pdf["end_secs"].max()))
+        return pd.DataFrame({"asset_id": pdf["asset_id"].iloc[0], "n": range(1, len(spans) + 1), "start": [round(a, 3) for a, _, _ in spans], "end": [round(b, 3) for _, b, _ in spans]})
+
+    return S.transcripts(spark, d).groupBy("asset_id").applyInPandas(one, "asset_id long, n int, start double, end double")
