@@ -188,12 +188,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s = shared.value
-            for b in chunks(batches, "__text"):
-                clean = pa.array([not s.found(w, score) for w in normal_words(as_bytes(b, "__text"))], pa.bool_())
-                kept = b.filter(clean)
-                yield pa.RecordBatch.from_arrays(kept.columns[: len(cols)], names=cols)
+            for b in chunks(batches):
+                clean = pa.array([not s.found(w, score) for w in normal_words(as_bytes(b))], pa.bool_())
+                yield pa.RecordBatch.from_arrays(b.filter(clean).column(0).flatten(), names=cols)
 
-        docs = docs.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(keep, docs.schema)
+        docs = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(keep, docs.schema)
     return docs
 
 

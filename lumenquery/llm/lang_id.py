@@ -128,9 +128,9 @@ def identify(docs: DataFrame, model: TextModel, host: Column | None = None, suff
     known = F.array(*[F.lit(x) for x in model.langs]) if k else F.array().cast("array<string>")
     told = plain(declared)
     told = F.when(told == "", None).when(F.array_contains(known, F.substring_index(told, "-", 1)), F.substring_index(told, "-", 1)).when(told.isNotNull(), F.lit("other"))
-    evidence = docs.select(*[c for c in docs.columns if c != "text" and c.lower() not in made], plain(host).alias("__host"), plain(suffix).alias("__suffix"), told.alias("__told"), F.col("text").cast("string").alias("__text"))
+    evidence = docs.select(F.struct(*[c for c in docs.columns if c != "text" and c.lower() not in made]).alias("doc"), plain(host).alias("__host"), plain(suffix).alias("__suffix"), told.alias("__told"), F.col("text").cast("string").alias("__text"))
     if not k:
-        return evidence.drop("__host", "__suffix", "__told", "__text").select("*", F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
+        return evidence.select("doc.*", F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
     scored = cut(_scored(evidence, model))
     hosts = cut(scored.where("__p is not null").groupBy("__host", "__suffix", "__told").agg(*_add(k)))
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
@@ -155,8 +155,8 @@ def identify(docs: DataFrame, model: TextModel, host: Column | None = None, suff
     blank = F.col("__p").isNull() & F.col("__told").isNull() & F.col("__host").isNull() & F.col("__suffix").isNull()
     top = F.array_max("__f")
     post = F.when(blank, None).otherwise(top / F.col("__sum"))
-    out = both.select(*[c for c in evidence.columns if not c.startswith("__")], F.when(~blank, F.element_at(known, F.array_position(F.col("__f"), top).cast("int"))).alias("lang_id"), post.alias("posterior"), F.col("__p").isNotNull().alias("__text"))
-    return out.withColumn("accepted", F.col("__text") & (F.coalesce(F.col("posterior"), F.lit(0.0)) >= ACCEPT)).drop("__text")
+    out = both.select("doc", F.when(~blank, F.element_at(known, F.array_position(F.col("__f"), top).cast("int"))).alias("lang_id"), post.alias("posterior"), F.col("__p").isNotNull().alias("__text"))
+    return out.select("doc.*", "lang_id", "posterior", (F.col("__text") & (F.coalesce(F.col("posterior"), F.lit(0.0)) >= ACCEPT)).alias("accepted"))
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -181,4 +181,4 @@ def keep_accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     gone = cut(said.where("not accepted").select(F.col("row_key").alias("__key")).distinct())
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").drop("__key")
+    return docs.select(F.struct("*").alias("doc"), key.alias("__key")).join(gone, "__key", "left_anti").select("doc.*")

@@ -187,17 +187,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     made = ["n_words", "n_removed", "kept_text"]
     kept = [c for c in docs.columns if c.lower() not in made]
-    keyed = docs.select(*kept, F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("__row"))
+    keyed = docs.select(F.struct(*kept).alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("__row"))
     hit, miss = _only(keyed, repeated_spans(docs))
-    both = hit.select(*kept, F.col("text").cast("string").alias("__text"), "__list")
+    both = hit.select("doc", "text", "__list")
     if miss is not None:
-        both = both.unionByName(miss.select(*kept, F.col("text").cast("string").alias("__text"), F.lit(None).cast(both.schema["__list"].dataType).alias("__list")))
+        both = both.unionByName(miss.select("doc", "text", F.lit(None).cast(both.schema["__list"].dataType).alias("__list")))
     schema = docs.select(*kept).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "__text"):
+        for b in chunks(batches):
             n, gone, left = [], [], []
-            for t, spans in zip(as_bytes(b, "__text"), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for t, spans in zip(as_bytes(b), b.column(2).to_pylist(), strict=True):
                 words = (t or b"").split()
                 if spans:
                     words, total = [words[i] for i in np.flatnonzero(_keep(len(words), spans))], len(words)
@@ -206,6 +206,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 n.append(total)
                 gone.append(total - len(words))
                 left.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, *made])
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, *made])
 
     return both.mapInArrow(emit, schema)
