@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: TextModel, host: Column | None = None, suff
     suffixes = hosts.groupBy("__suffix").agg(*sums).select(F.col("__suffix").alias("s"), _vec(k).alias("sv"))
     prior = hosts.groupBy("__host", "__suffix").agg(*sums).select("__host", "__suffix", _vec(k).alias("hv"))
     prior = cut(prior.join(suffixes, F.col("__suffix").eqNullSafe(F.col("s"))).select(F.col("__host").alias("h"), F.col("__suffix").alias("s"), "hv", F.when(F.col("s").isNull(), world).otherwise(_smooth(F.col("sv"), world, SUFFIX_ROWS)).alias("sp")))
-    if prior.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if prior.count() <= BROADCAST_ROWS:
         prior = F.broadcast(prior)
     both = scored.join(prior, F.col("__host").eqNullSafe(F.col("h")) & F.col("__suffix").eqNullSafe(F.col("s")), "left")
     flat = F.array(*[F.lit(1.0)] * k)
@@ -179,6 +179,6 @@ def keep_accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
     said = identify(docs.select("text", "source", key.alias("row_key")), fit(docs, sample), host=F.col("source"))
     gone = cut(said.where("not accepted").select(F.col("row_key").alias("__key")).distinct())
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.select(F.struct("*").alias("doc"), key.alias("__key")).join(gone, "__key", "left_anti").select("doc.*")
