@@ -14,6 +14,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_literal(v: Column, values: list[float], unroll: int = 256) -> Column:
+    """Inner product with a constant vector: unrolled, so that it stays inside generated code."""
+    if len(values) > unroll or not values:
+        return dot(v, literal_vector(values))
+    parts = [F.get(v, F.lit(i)).cast("double") * F.lit(float(x)) for i, x in enumerate(values)]
+    while len(parts) > 1:  # a balanced tree keeps the expression shallow
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - dot for unit vectors; infinite when the widths differ."""
     return F.when(F.size(a) != F.size(b), F.lit(float("inf"))).otherwise(1 - dot(a, b))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_like, query_terms, tokens
-from ..functions.vectors import dot, literal_vector
+from ..functions.vectors import dot, dot_literal
 
 #: Ranking constants of transcript search and the score of a spoken hit.
 K1, B, IDF_FLOOR, SPOKEN_SCORE, OVERFETCH = 1.2, 0.75, 1e-6, 0.35, 5
@@ -61,11 +61,10 @@ def vector_topk(pool: DataFrame, query: list[float], limit: int, allowed: DataFr
     score is an expression, the best row per asset a grouped maximum combined before the
     shuffle, the ranking a bounded top-k.
     """
-    q = literal_vector(query)
     rows = pool.where(F.size("vector") == len(query))
     if allowed is not None:
         rows = rows.join(allowed, "asset_id", "left_semi")
-    scored = rows.select("asset_id", F.col("ts_secs"), dot(F.col("vector"), q).alias("score"))
+    scored = rows.select("asset_id", F.col("ts_secs"), dot_literal(F.col("vector"), query).alias("score"))
     best = scored.groupBy("asset_id").agg(F.max(F.struct("score", (-F.coalesce("ts_secs", F.lit(-1.0))).alias("neg"), "ts_secs")).alias("b"))
     return best.select("asset_id", "b.ts_secs", "b.score").orderBy(F.desc("score"), "asset_id").limit(limit)
 
