@@ -9,8 +9,8 @@ Every bucket links its members to its smallest one (a star), so pairs grow with
 and not with their square; a link counts once the full sets confirm it. What a star may
 miss is a link between two members of which one isn't linked to the centre. Buckets
 whose members lie in several components after the stars are therefore gone through
-again: blocks of members are compared with blocks of members in bounded tasks, on the
-signatures first (with a slack of ``SLACK`` below the threshold) and on full sets last.
+again: blocks of members are compared with blocks of members in bounded tasks that count
+all their common shingles on full sets and return links that join components.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,9 +32,9 @@ WORDS, BANDS, ROWS = 5, 52, 5
 BINS = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
-#: How far below the threshold (in shared bins) a pair may be and still be checked on full sets.
-SLACK = 0.2
-#: Ids of removed rows that may be broadcast (8 bytes each) to spare the texts a shuffle.
+#: Shingles that are counted at once when two blocks are compared.
+COLUMNS = 8192
+#: Keys of removed rows that may be broadcast (8 bytes each) to spare the texts a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -69,8 +69,12 @@ def _digest(values: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(values)) + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (hash of the set, null when empty) and band keys of every row."""
+    """doc_id, row (hash of id and text), n_shingles, cls (hash of the set, null when empty) and band keys of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -80,19 +84,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 cls.append(_digest(s) if len(s) else None)
                 keys.append(as_long(bands(signature(s))) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "cls", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, cls long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row")).mapInArrow(sketch, "doc_id long, row long, n_shingles long, cls long, keys array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, signatures: bool = False) -> DataFrame:
-    """cls and its whole set (or signature) for the classes of wanted(cls, doc_id), doc_id being one member."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and its whole set for the classes of wanted(cls, doc_id), doc_id being one member."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, bytes_at_once=2 << 20, rows_at_once=512):
             sets = [shingle_set(w, WORDS) for w in word_hashes(as_bytes(b), lower=True)]
             sets = [s for s in sets if len(s)]
-            values = [as_long(signature(s) if signatures else s) for s in sets]
+            values = [as_long(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["cls", "vals"])
 
     ids = wanted.select(F.col("doc_id").alias("want")).distinct()
@@ -110,37 +114,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * i >= percent * (n + m - i)).select("a", "b")
 
 
-def _rest(members: DataFrame, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may be similar, block by block.
+def _links(p: int, q: int, t: pa.Table, percent: int) -> pa.Table:
+    """Links that join the components of blocks p and q: a spanning forest of all pairs that are similar enough.
 
-    members(key, cls) are the buckets with two members or more. A bucket's members get a
-    block number by hash; each block meets each block of its bucket once, in a task of its own.
+    Common shingles of every pair are counted exactly on full sets.
+    """
+    block, cls, comp = (t.column(c).to_numpy() for c in ("block", "cls", "comp"))
+    sets = t.column("vals").combine_chunks()
+    n = np.diff(sets.offsets.to_numpy())
+    row = np.repeat(np.arange(len(cls)), n)
+    values, column, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    row, column = row[often[column] > 1], place[column[often[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left = np.flatnonzero(block == p)
+    right = left if p == q else np.flatnonzero(block == q)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(cls), min(COLUMNS, len(shared) - at)), np.float32)
+        x[row[lo:hi], column[lo:hi] - at] = 1
+        common += x[left] @ x[right].T
+    common = common.astype(np.int64)
+    near = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    i, j = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    if len(i):
+        ends = np.sort(np.stack([comp[left[i]], comp[right[j]]], axis=1), axis=1)
+        _, first = np.unique(ends, axis=0, return_index=True)
+        for k in first:
+            x, y = top(int(ends[k, 0])), top(int(ends[k, 1]))
+            if x != y:
+                root[y] = x
+                out.append((cls[left[i[k]]], cls[right[j[k]]]))
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components whose members share a bucket without being its centre.
+
+    members(key, cls) are the buckets without their centres. Buckets of one membership
+    count once. A bucket's members get a block number by hash; each block meets each block
+    of its bucket once, in a task of its own, which gives a spanning forest of the links it finds.
     """
     m = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
+    keys = keys.groupBy("who", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    m = m.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     sides = m.select("key", "cls", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))).alias("at"), "block")
-    sides = sides.select("key", "at.p", "at.q", "block", "cls", "comp").join(signed, "cls")
-    least = int(BINS * (percent / 100 - SLACK))
-
-    def compare(key, t):
-        import pandas as pd
-
-        p, q = key[1].as_py(), key[2].as_py()
-        block, cls, comp = (t.column(c).to_numpy() for c in ("block", "cls", "comp"))
-        sig = np.array(t.column("vals").to_pylist(), np.int64)
-        left = np.flatnonzero(block == p)
-        right = left if p == q else np.flatnonzero(block == q)
-        a, b = [], []
-        for i in left:
-            others = right[(comp[right] != comp[i]) & (cls[right] > cls[i] if p == q else True)]
-            near = others[(sig[others] == sig[i]).sum(axis=1) >= least] if len(others) else others
-            a += [cls[i]] * len(near)
-            b += cls[near].tolist()
-        f = pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-        return pa.Table.from_pandas(pd.DataFrame({"a": np.minimum(f.a, f.b), "b": np.maximum(f.a, f.b)}), preserve_index=False)
-
-    return sides.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+    sides = sides.select("key", "at.p", "at.q", "block", "cls", "comp").join(sets, "cls")
+    return sides.groupBy("key", "p", "q").applyInArrow(lambda key, t: _links(key[1].as_py(), key[2].as_py(), t, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -153,6 +188,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     smallest; where a component has no other, component_id is null and its rows are kept.
     Further columns are dropped. An empty table gives no rows.
     """
+    return _decided(docs, percent).drop("row")
+
+
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates with the hash of each row's id and text."""
     s = cut(sketches(docs))
     classes = s.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
     buckets = cut(classes.select("cls", F.explode("keys").alias("key")))
@@ -163,35 +203,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = cut(_sets(docs, reps))
     links = cut(_confirm(stars, sets, percent))
     comps = cut(components(links))
-    signed = sets.select("cls", F.col("vals")).mapInArrow(_sign, "cls long, vals array<long>")
-    more = _rest(members.select("key", "cls"), comps, signed, percent)
-    missed = cut(_confirm(more, sets, percent))
-    comps = cut(components(links.unionByName(missed)))
+    missed = cut(_rest(members.where("cls <> hub").select("key", "cls"), comps, sets, percent))
+    if missed.limit(1).count():
+        # Links between components join them; the components stand for their members.
+        at = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}c"))
+        bridges = missed.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+        upper = cut(components(bridges))
+        nodes = comps.unionByName(missed.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+        comps = cut(nodes.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
     of = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls")
     least = of.groupBy("comp").agg(F.min("doc_id").alias("least"))
     of = of.join(least, "comp").select("cls", "least")
     # Classes of copies that are in no link: only those with two rows or more need their smallest id.
     copies = s.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cls", "low")
     names = of.join(copies, "cls", "full").select("cls", F.coalesce("least", "low").alias("component_id"), F.lit(True).alias("named"))
-    out = s.select("doc_id", "n_shingles", "cls").join(names, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = s.select("doc_id", "row", "n_shingles", "cls").join(names, "cls", "left")
+    out = out.select("doc_id", "row", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        col = b.column(1)
-        sigs = [as_long(signature(np.asarray(col[i].values).view(np.uint64))) for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.list_(pa.int64()))], names=["cls", "vals"])
-
-
 def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns.
-
-    Rows of one doc_id are one document and go or stay together; rows with a null id go only
-    where a row with an id is in their group.
-    """
-    gone = cut(near_duplicates(docs.select("doc_id", "text"), percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """The rows of docs that near_duplicates keeps, with all their columns; equal rows go or stay together."""
+    gone = cut(_decided(docs.select("doc_id", "text"), percent).where("not kept").select("row").distinct())
+    if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.select(F.struct("*").alias("doc"), _row_key().alias("row")).join(gone, "row", "left_anti").select("doc.*")

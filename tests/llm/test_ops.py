@@ -115,18 +115,28 @@ def test_near_duplicates_beyond_the_star(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
 
-def test_blocks_find_all_pairs():
+def test_blocks_join_all_components():
     import pyarrow as pa
 
     r = np.random.default_rng(2)
-    sets = [np.unique(r.integers(0, 60, 40)).astype(np.int32) for _ in range(30)]
-    t = pa.table({"block": [i % 2 for i in range(30)], "cls": list(range(30)), "comp": list(range(30)), "n": [len(s) for s in sets], "vals": pa.array(sets, pa.list_(pa.int32()))})
-    got = set()
+    sets = [np.unique(r.integers(0, 60, 40)).astype(np.int64) for _ in range(30)]
+    sets += [np.sort(np.append(s[1:], 1000 + i)) for i, s in enumerate(sets[:9])]
+    n = len(sets)
+    t = pa.table({"block": [i % 2 for i in range(n)], "cls": list(range(n)), "comp": list(range(n)), "vals": pa.array(sets, pa.list_(pa.int64()))})
+    links = [(i, j) for j in range(n) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+
+    def groups(edges):
+        c = list(range(n))
+        for _ in range(n):
+            for i, j in edges:
+                c[i] = c[j] = min(c[i], c[j])
+        return c
+
+    got = []
     for p, q in ((0, 0), (0, 1), (1, 1)):
-        f = near_dup._likely(p, q, t, 75)
-        got |= set(zip(f["a"].to_pylist(), f["b"].to_pylist(), strict=True))
-    want = {(i, j) for j in range(30) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    assert want <= got
+        f = near_dup._links(p, q, t, 75)
+        got += zip(f["a"].to_pylist(), f["b"].to_pylist(), strict=True)
+    assert set(got) <= set(links) and groups(got) == groups(links) and len(links) > 8
 
 
 # ---- 5 repeated passages ----
