@@ -77,20 +77,24 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     nodes = nodes.groupBy("conv", "conv_id", "node").agg(F.min("x").alias("x")).select("conv", "conv_id", "node", "x.parent", "x.score")
     there = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
     first = nodes.join(there, ["conv", "parent"], "left").select("conv", "conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps"))
-    rounds = [cut(first)]
-    while rounds[-1].where("up is not null").limit(1).count() and len(rounds) < 40:
-        a, b = rounds[-1], rounds[-1].select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        rounds.append(cut(a.join(b, ["conv", "up"], "left").select("conv", "conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))))
-        if rounds[-1].agg(F.max("steps")).first()[0] >= 1 << (len(rounds) - 1) and rounds[-1].where("up is null").limit(1).count() == 0:
-            break  # only cycles are left
-    inner = rounds[0].where("up is not null").select("conv", F.col("up").alias("node")).distinct()
-    leaves = rounds[-1].where("up is null").join(inner, ["conv", "node"], "left_anti")
+    start = cut(first)
+    n = start.count()
+    done, active = start.where("up is null"), start.where("up is not null")
+    rounds = []
+    # Only nodes that haven't reached their root go on; after log2(n) rounds those left lie on cycles.
+    while active.limit(1).count() and (1 << len(rounds)) <= n:
+        rounds.append(active)
+        b = active.unionByName(done).select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
+        nxt = cut(active.join(b, ["conv", "up"]).select("conv", "conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps")))
+        done, active = done.unionByName(nxt.where("up is null")), nxt.where("up is not null")
+    inner = start.where("up is not null").select("conv", F.col("up").alias("node")).distinct()
+    leaves = done.join(inner, ["conv", "node"], "left_anti")
     if branches is not None:
         best = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc("steps"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
     paths = leaves.select("conv", "conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    for k, jump in enumerate(rounds[:-1]):
-        up = jump.where("up is not null").select("conv", "node", "up")
+    for k, jump in enumerate(rounds):
+        up = jump.select("conv", "node", "up")
         paths = paths.unionByName(paths.join(up, ["conv", "node"]).select("conv", "conv_id", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
         if k % 3 == 2:
             paths = cut(paths)
