@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
