@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import cosine_distance, dot
 from .dupes import groups, similar_pairs
 
 
@@ -27,27 +28,29 @@ class Params:
 def choose_exemplars(x: np.ndarray, k: int) -> list[int]:
     """The medoid, then the farthest from those chosen; all when there are at most k (K7, AG13, G13).
 
-    First medoid on ties, last farthest on ties; ascending order.
+    First medoid on ties, last farthest on ties; ascending order. Dot products are taken
+    row by row, so that equal vectors tie exactly.
     """
     n = len(x)
     if n <= k:
         return list(range(n))
-    d = 1.0 - x @ x.T
-    chosen = [int(d.sum(axis=1).argmin())]
-    gap = d[chosen[0]].copy()
+    # The sum of distances to the others is n - 1 less this.
+    chosen = [int(((x * x.sum(axis=0)).sum(axis=1) - (x * x).sum(axis=1)).argmax())]
+    gap = 1.0 - (x * x[chosen[0]]).sum(axis=1)
     while len(chosen) < k:
         gap[chosen] = -np.inf
         far = n - 1 - int(gap[::-1].argmax())
         chosen.append(far)
-        gap = np.minimum(gap, d[far])
+        gap = np.minimum(gap, 1.0 - (x * x[far]).sum(axis=1))
     return sorted(chosen)
 
 
 def exemplars(faces: DataFrame, k: int = 5, most: int = 2000) -> DataFrame:
     """person_id, face_id and vector of the exemplars of each person with faces.
 
-    A person of more than most faces is first reduced: exemplars of chunks of most faces,
-    then exemplars of those, so that no task holds all faces of one person.
+    All faces of a person count, however many. A person of at most most faces is one group
+    of a task; the others, and those whose vectors differ in width, take a round of grouped
+    maxima per exemplar (wide_exemplars), so that no task holds all faces of one person.
     """
     rows = faces.where("person_id is not null and vector is not null").select("person_id", "face_id", "vector")
 
@@ -55,11 +58,42 @@ def exemplars(faces: DataFrame, k: int = 5, most: int = 2000) -> DataFrame:
         pdf = pdf.sort_values("face_id")
         return pdf.iloc[choose_exemplars(np.array(pdf["vector"].tolist(), float), k)][["person_id", "face_id", "vector"]]
 
-    size = rows.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
-    chunked = rows.join(size, "person_id").withColumn("chunk", F.pmod(F.xxhash64("face_id"), F.ceil(F.col("n") / most)))
-    schema = "person_id long, face_id long, vector array<double>"
-    big = chunked.where(F.col("n") > most).groupBy("person_id", "chunk").applyInPandas(lambda p: pick(p), schema)
-    return chunked.where(F.col("n") <= most).select("person_id", "face_id", "vector").unionByName(big).groupBy("person_id").applyInPandas(lambda p: pick(p), schema)
+    size = rows.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), (F.min(F.size("vector")) < F.max(F.size("vector"))).alias("mixed"))
+    sized = rows.join(size, "person_id")
+    every = sized.where(F.col("n") <= k).select("person_id", "face_id", "vector")
+    one_task = (F.col("n") <= most) & ~F.col("mixed")
+    small = sized.where((F.col("n") > k) & one_task).select("person_id", "face_id", "vector").groupBy("person_id").applyInPandas(pick, "person_id long, face_id long, vector array<double>")
+    return every.unionByName(small).unionByName(wide_exemplars(sized.where((F.col("n") > k) & ~one_task), k))
+
+
+def wide_exemplars(sized: DataFrame, k: int) -> DataFrame:
+    """choose_exemplars for people of any number of faces: sized(person_id, face_id, vector, n, mixed), n over k.
+
+    A face's summed distance to the others is n - 1 less its dot product with the sum of the
+    others, so the medoid is a grouped sum and a grouped maximum; each farthest face is
+    another maximum against those chosen. People of so many faces are few: their rows are
+    broadcast and the maxima are combined before the shuffle. Where widths differ all sums
+    are infinite, and the first face is the medoid.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(p, np.array(v.tolist(), float).sum(axis=0)) for (p, _), v in pdf["vector"].groupby([pdf["person_id"], pdf["vector"].map(len)])]
+            yield pd.DataFrame({"person_id": [p for p, _ in out], "total": [t for _, t in out]})
+
+    part = sized.select("person_id", "vector").mapInPandas(sums, "person_id long, total array<double>")
+    part = part.select("person_id", F.posexplode("total").alias("at", "x")).groupBy("person_id", "at").agg(F.sum("x").alias("x"))
+    total = part.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("total"))
+    own = F.when(F.col("mixed"), 0.0).otherwise(dot(F.col("vector"), F.col("total")) - dot(F.col("vector"), F.col("vector")))
+    face = F.struct("face_id", F.col("vector").cast("array<double>").alias("vector"))
+    first = sized.join(F.broadcast(total), "person_id").groupBy("person_id").agg(F.max_by(face, F.struct(own, -F.col("face_id"))).alias("face"))
+    chosen = first.select("person_id", F.array("face").alias("chosen"))
+    for _ in range(k - 1):
+        left = sized.join(F.broadcast(chosen), "person_id").where(~F.exists("chosen", lambda c: c["face_id"] == F.col("face_id")))
+        gap = F.array_min(F.transform("chosen", lambda c: cosine_distance(F.col("vector"), c["vector"])))
+        far = left.groupBy("person_id").agg(F.max_by(face, F.struct(gap, F.col("face_id"))).alias("face"), F.first("chosen").alias("chosen"))
+        chosen = far.select("person_id", F.array_append("chosen", F.col("face")).alias("chosen"))
+    return chosen.select("person_id", F.explode("chosen").alias("c")).select("person_id", "c.face_id", "c.vector")
 
 
 def attach(unassigned: DataFrame, chosen: DataFrame, rejections: DataFrame, limit: float = 0.5) -> DataFrame:

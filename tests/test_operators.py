@@ -117,6 +117,31 @@ def test_exemplars_and_attach(spark):
     assert [(r.face_id, r.person_id) for r in cluster.attach(f, e, no).collect()] == [(5, 1)]
 
 
+def brute_exemplars(x, k):
+    """Indices by all pairs, as the reference has it; infinite between widths."""
+    far = lambda a, b: 1 - float(np.dot(a, b)) if len(a) == len(b) else float("inf")
+    n = len(x)
+    if n <= k:
+        return list(range(n))
+    got = [min(range(n), key=lambda i: (round(sum(far(x[i], x[j]) for j in range(n) if j != i), 9), i))]
+    while len(got) < k:
+        got.append(max((i for i in range(n) if i not in got), key=lambda i: (round(min(far(x[i], x[c]) for c in got), 12), i)))
+    return sorted(got)
+
+
+@pytest.mark.parametrize("most", [2000, 20])
+def test_exemplars_use_all_faces_of_a_person(spark, most):
+    r = np.random.default_rng(3)
+    people = {1: [unit(*(r.standard_normal(8) + (1, 0, 0, 0, 0, 0, 0, 0))) for _ in range(150)], 2: [unit(*r.standard_normal(8)) for _ in range(21)], 3: [unit(*r.standard_normal(8)) for _ in range(20)], 4: [unit(1, 2)] * 3}
+    people[5] = [people[2][0]] * 15 + people[2][:8] + [people[2][3]] * 15  # copies tie
+    people[6] = [unit(*r.standard_normal(2 + i % 2)) for i in range(30)]
+    rows = [(p, 1000 * p + i, [float(y) for y in v]) for p, x in people.items() for i, v in enumerate(x)]
+    f = spark.createDataFrame([*rows, (None, 1, [1.0, 0.0]), (1, 2, None)], "person_id long, face_id long, vector array<double>").repartition(5)
+    got = cluster.exemplars(f, 5, most).collect()
+    assert sorted((r.person_id, r.face_id) for r in got) == [(p, 1000 * p + i) for p, x in people.items() for i in brute_exemplars(x, 5)]
+    assert all(list(r.vector) == [float(y) for y in people[r.person_id][r.face_id % 1000]] for r in got)
+
+
 def test_suppression(spark):
     b = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.8), (1, 3, 50.0, 50.0, 5.0, 5.0, 0.7)], "img long, box_id long, x double, y double, w double, h double, score double")
     assert sorted(r.box_id for r in cluster.suppress(b, "img").collect()) == [1, 3]
