@@ -188,11 +188,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     smallest; where a component has no other, component_id is null and its rows are kept.
     Further columns are dropped. An empty table gives no rows.
     """
-    return _decided(docs, percent).drop("row")
+    return _decided(docs, percent).drop("row", "comp")
 
 
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
-    """near_duplicates with the hash of each row's id and text."""
+    """near_duplicates with the hash of each row's id and text, and comp, which names the components of two rows or more."""
     s = cut(sketches(docs))
     classes = s.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
     buckets = cut(classes.select("cls", F.explode("keys").alias("key")))
@@ -213,18 +213,36 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
         comps = cut(nodes.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
     of = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls")
     least = of.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    of = of.join(least, "comp").select("cls", "least")
+    of = of.join(least, "comp").select("cls", "comp", "least")
     # Classes of copies that are in no link: only those with two rows or more need their smallest id.
     copies = s.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cls", "low")
-    names = of.join(copies, "cls", "full").select("cls", F.coalesce("least", "low").alias("component_id"), F.lit(True).alias("named"))
+    names = of.join(copies, "cls", "full").select("cls", F.coalesce("least", "low").alias("component_id"), F.coalesce("comp", "cls").alias("comp"))
     out = s.select("doc_id", "row", "n_shingles", "cls").join(names, "cls", "left")
-    out = out.select("doc_id", "row", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "row", "n_shingles", F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; equal rows go or stay together."""
-    gone = cut(_decided(docs.select("doc_id", "text"), percent).where("not kept").select("row").distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.select(F.struct("*").alias("doc"), _row_key().alias("row")).join(gone, "row", "left_anti").select("doc.*")
+    """One row of docs per component of near_duplicates, with all its columns.
+
+    Of the rows that near_duplicates keeps in a component (several where an id repeats or
+    all ids are null) the one with the least hash of id and text stays, and of rows equal in
+    both any one. Texts without words are linked with nothing, so their rows all stay.
+    """
+    rows = _decided(docs.select("doc_id", "text"), percent).where("comp is not null")
+    rows = cut(rows.groupBy("comp", "row", "kept").agg(F.count(F.lit(1)).alias("n")))
+    kept = rows.where("kept")
+    first = kept.groupBy("comp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("k"))
+    rest = kept.join(first.where("k > 1"), "comp").where("row <> first")
+    gone = cut(rows.where("not kept").select("row").unionByName(rest.select("row")).distinct())
+    twice = cut(kept.where("n > 1").select("row").join(gone, "row", "left_anti"))
+    few = lambda keys, n: F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+    n = twice.count()
+    gone, twice = few(gone, gone.count()), few(twice, n)
+    left = docs.select(F.struct("*").alias("doc"), _row_key().alias("row")).join(gone, "row", "left_anti")
+    if not n:
+        return left.select("doc.*")
+    once = left.join(twice, "row", "left_anti").select("doc")
+    # Rows are equal in id and text here; the maps combine them before the shuffle.
+    one = left.join(twice, "row", "left_semi").groupBy("row").agg(F.any_value("doc").alias("doc")).select("doc")
+    return once.unionByName(one).select("doc.*")

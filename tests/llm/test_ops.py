@@ -100,6 +100,27 @@ def test_near_duplicates(spark, corpus):
     assert kept.columns == docs_of(spark, corpus).columns and kept.count() == sum(r[3] for r in brute_groups(corpus))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_row_of_each_component_stays(spark, monkeypatch, broadcast):
+    import corpus_pipeline as P
+
+    if not broadcast:
+        monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
+    r = random.Random(8)
+    a, b, c, d, e, f = (words(r, 60, 10_000) for _ in range(6))
+    near = " ".join([*d.split()[:-1], "end"])
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, d), (None, near), (5, c), (5, c), (6, c), (7, e), (7, " ".join([*e.split()[:-1], "end"])), (7, f), (8, ""), (8, None), (8, "")]
+    kept = near_dup.keep_one_each(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, rows).columns
+    kept = P.cut(kept)
+    start = lambda t: (t or "")[:40]
+    assert sorted(((x.doc_id, start(x.text)) for x in kept.collect()), key=str) == sorted([(1, start(a)), (None, start(b)), (None, start(d)), (5, start(c)), (7, start(e)), (7, start(f)), *[(8, "")] * 3], key=str)
+    before = {(x.doc_id, x.text) for x in kept.collect()}
+    assert {(x.doc_id, x.text) for x in P.passages(spark, kept, "").collect()} == before
+    flags = near_dup.near_duplicates(docs_of(spark, rows))
+    assert flags.columns == ["doc_id", "n_shingles", "component_id", "kept"] and sorted(map(tuple, flags.collect()), key=str) == brute_groups(rows)
+
+
 def test_near_duplicates_beyond_the_star(spark, monkeypatch):
     """Members that the centre of a bucket isn't linked with, in blocks of two."""
     monkeypatch.setattr(near_dup, "BLOCK", 2)
