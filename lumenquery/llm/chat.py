@@ -3,7 +3,8 @@
 Root-to-leaf paths come from iterative self-joins by pointer doubling: round k joins
 each node's 2**k-th ancestor with that ancestor's own, so a tree of depth d takes
 log2(d) rounds. Branches are ranked by the summed score of their path, and the nodes
-of each chosen path are listed by joining with the rounds' tables once each.
+of each chosen path are listed by joining with the rounds' tables once each. Every round
+is written and read again, so no plan holds more than one round's join.
 """
 
 from __future__ import annotations
@@ -88,16 +89,15 @@ def reply_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         nxt = cut(active.join(b, ["conv", "up"]).select("conv", "conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("steps") + F.col("steps2")).alias("steps")))
         done, active = done.unionByName(nxt.where("up is null")), nxt.where("up is not null")
     inner = start.where("up is not null").select("conv", F.col("up").alias("node")).distinct()
-    leaves = done.join(inner, ["conv", "node"], "left_anti")
+    leaves = cut(done.join(inner, ["conv", "node"], "left_anti"))
     if branches is not None:
         best = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc("steps"), "node")
         leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    paths = leaves.select("conv", "conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    paths = cut(leaves.select("conv", "conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")))
     for k, jump in enumerate(rounds):
-        up = jump.select("conv", "node", "up")
-        paths = paths.unionByName(paths.join(up, ["conv", "node"]).select("conv", "conv_id", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
-        if k % 3 == 2:
-            paths = cut(paths)
+        more = paths.join(jump.select("conv", "node", "up"), ["conv", "node"])
+        more = cut(more.select("conv", "conv_id", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
+        paths = paths.unionByName(more)
     return paths.select("conv", "conv_id", "leaf", "back", F.col("node").alias("node_id"))
 
 
@@ -105,7 +105,10 @@ def format_conversations(messages: DataFrame, branches: int | None = 1) -> DataF
     """conv_id, leaf, formatted text and loss spans, one row per chosen branch.
 
     messages(conv_id, node_id, parent_id, score, role, text) as in reply_paths; null texts
-    and roles are empty. A conversation is one row of output, so its turns meet in one task.
+    and roles are empty. A conversation is one row of output, so its turns meet in one task:
+    that task's memory is bounded by the longest conversation, which one string must hold.
+    Very long texts are kept whole; other columns are dropped, whatever their names; repeated
+    rows of a node count once; no rows give no rows.
     """
     paths = reply_paths(messages, branches)
     said = messages.where("node_id is not null").groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), "node_id").agg(F.min(F.struct(F.col("parent_id"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
@@ -120,13 +123,22 @@ def format_conversations(messages: DataFrame, branches: int | None = 1) -> DataF
 
 
 def linear_messages(conversations: DataFrame) -> DataFrame:
-    """Conversations of plain turns as trees: rows by turn (then role and text), each replying to the one before."""
+    """Conversations of plain turns as trees: rows by turn (then role and text), each replying to the one before.
+
+    Null turns come first; repeated rows are turns of their own; a null conv_id is a
+    conversation; other columns are dropped; an empty table gives no rows. The rows of one
+    conversation are numbered in one task, which sorts on disk where they are many.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", F.row_number().over(order).cast("long").alias("node_id")).select("*", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), F.lit(0.0).alias("score"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings say when read back: turns, loss text and lengths as counts and hashes."""
+    """What the formatted strings say when read back: turns, loss text and lengths as counts and hashes.
+
+    One row per row of formatted(conv_id, formatted, loss_spans), in which conv_id may be
+    null; strings are read whole; other columns are dropped; no rows give no rows.
+    """
     import hashlib
 
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
