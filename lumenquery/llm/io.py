@@ -10,13 +10,23 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Type of row_key().
+ROW_KEY = "struct<a:bigint,b:bigint>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*names: str) -> Column:
+    """128 bits of a row's doc_id and text, or the columns named; a null differs from every value. Only rows equal in all share a key."""
+    parts = [x for c in names or ("doc_id", "text") for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("row"), *reversed(parts)).alias("b"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 

@@ -8,9 +8,12 @@ bin that a hash shared by all documents picks for it. Bands of bins give bucket
 Every bucket links its members to its smallest one (a star), so pairs grow with members
 and not with their square; a link counts once the full sets confirm it. What a star may
 miss is a link between two members of which one isn't linked to the centre. Buckets
-whose members lie in several components after the stars are therefore gone through
-again: blocks of members are compared with blocks of members in bounded tasks that count
-all their common shingles on full sets and return links that join components.
+whose members lie in several components after the stars get a few more centres, of their
+largest component and of the others, and test the members outside that component only.
+What is left is settled by an exact prefix filter: with shingles ordered from rare to common, a
+pair at the threshold shares one of the first few of each set, at places that leave
+enough shingles to come. Ids meet on those shingles, and sets are fetched only for the
+pairs that pass.
 """
 
 from __future__ import annotations
@@ -19,22 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .io import as_bytes, chunks, cut
+from .io import ROW_KEY, as_bytes, chunks, cut, row_key
 from .kernels import as_long, mix, shingle_set, word_hashes
 
 #: Words of a shingle, bins of a signature, and bins of a band. At similarity 0.75 a pair
 #: misses all 52 bands with a chance of 1e-6.
 WORDS, BANDS, ROWS = 5, 52, 5
 BINS = BANDS * ROWS
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
-#: Shingles that are counted at once when two blocks are compared.
-COLUMNS = 8192
-#: Keys of removed rows that may be broadcast (8 bytes each) to spare the texts a shuffle.
+#: New centres of a bucket in several components, in its largest component and outside of it, before the prefix filter settles the rest.
+CENTRES = (2, 1)
+#: Row keys that may be broadcast (16 bytes each, 24 with a class) to spare the texts a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -64,45 +65,57 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return mix(np.add.reduce(mixed, axis=1) ^ _BAND)
 
 
-def _digest(values: np.ndarray) -> int:
-    """One hash of a set, the same for equal sets."""
-    return int(mix(np.array([np.add.reduce(mix(values)) + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
-
-
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+def _digest(values: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of a set, the same for equal sets."""
+    n = np.uint64(len(values))
+    both = np.array([np.add.reduce(mix(values)) + n, np.add.reduce(mix(values ^ np.uint64(0xA0761D6478BD642F))) ^ n], np.uint64)
+    return tuple(mix(both).view(np.int64).tolist())
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of id and text), n_shingles, cls (hash of the set, null when empty) and band keys of every row."""
+    """doc_id, row (key of id and text), n_shingles, cls and alt (hashes of the set, null when empty) and band keys of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            n, cls, keys = [], [], []
+            n, cls, alt, keys = [], [], [], []
             for w in word_hashes(as_bytes(b), lower=True):
                 s = shingle_set(w, WORDS)
+                c, a = _digest(s) if len(s) else (None, None)
                 n.append(len(s))
-                cls.append(_digest(s) if len(s) else None)
+                cls.append(c)
+                alt.append(a)
                 keys.append(as_long(bands(signature(s))) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "cls", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(alt, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "n_shingles", "cls", "alt", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row")).mapInArrow(sketch, f"doc_id long, row {ROW_KEY}, n_shingles long, cls long, alt long, keys array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row")).mapInArrow(sketch, "doc_id long, row long, n_shingles long, cls long, keys array<long>")
+def _told_apart(s: DataFrame) -> DataFrame:
+    """Sketches in which rows of one cls agree in alt too: where two sets share a cls, each gets another."""
+    while True:
+        clash = cut(s.where("cls is not null").groupBy("cls").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).where("lo <> hi").select(F.col("cls").alias("bad")))
+        if not clash.limit(1).count():
+            return s
+        both = s.join(clash, s["cls"] == clash["bad"], "left")
+        s = cut(both.withColumn("cls", F.when(F.col("bad").isNotNull(), F.xxhash64("cls", "alt")).otherwise(F.col("cls"))).drop("bad"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, for a broadcast while they are at most BROADCAST_ROWS, so that no text is shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and its whole set for the classes of wanted(cls, doc_id), doc_id being one member."""
+    """cls and its whole set for the classes of wanted(cls, row), row being the key of one member."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, bytes_at_once=2 << 20, rows_at_once=512):
-            sets = [shingle_set(w, WORDS) for w in word_hashes(as_bytes(b), lower=True)]
-            sets = [s for s in sets if len(s)]
-            values = [as_long(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["cls", "vals"])
+            sets = [as_long(shingle_set(w, WORDS)) for w in word_hashes(as_bytes(b), lower=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "vals"])
 
-    ids = wanted.select(F.col("doc_id").alias("want")).distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-    made = some.select("text").mapInArrow(make, "cls long, vals array<long>")
-    return made.join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.any_value("vals").alias("vals"))
+    keyed = docs.select(F.col("text").cast("string").alias("text"), row_key().alias("row"))
+    some = keyed.join(_few(wanted.select("cls", "row")), "row").select("text", "cls")
+    return some.mapInArrow(make, "cls long, vals array<long>").groupBy("cls").agg(F.any_value("vals").alias("vals"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,68 +127,58 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * i >= percent * (n + m - i)).select("a", "b")
 
 
-def _links(p: int, q: int, t: pa.Table, percent: int) -> pa.Table:
-    """Links that join the components of blocks p and q: a spanning forest of all pairs that are similar enough.
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, cls, comp, stray) of the buckets in several components; strays lie outside a bucket's largest one.
 
-    Common shingles of every pair are counted exactly on full sets.
-    """
-    block, cls, comp = (t.column(c).to_numpy() for c in ("block", "cls", "comp"))
-    sets = t.column("vals").combine_chunks()
-    n = np.diff(sets.offsets.to_numpy())
-    row = np.repeat(np.arange(len(cls)), n)
-    values, column, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(often > 1)
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    row, column = row[often[column] > 1], place[column[often[column] > 1]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    left = np.flatnonzero(block == p)
-    right = left if p == q else np.flatnonzero(block == q)
-    common = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(shared), COLUMNS):
-        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-        x = np.zeros((len(cls), min(COLUMNS, len(shared) - at)), np.float32)
-        x[row[lo:hi], column[lo:hi] - at] = 1
-        common += x[left] @ x[right].T
-    common = common.astype(np.int64)
-    near = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
-    i, j = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
-    root: dict[int, int] = {}
-
-    def top(c: int) -> int:
-        while (up := root.get(c, c)) != c:
-            root[c] = root.get(up, up)
-            c = up
-        return c
-
-    out = []
-    if len(i):
-        ends = np.sort(np.stack([comp[left[i]], comp[right[j]]], axis=1), axis=1)
-        _, first = np.unique(ends, axis=0, return_index=True)
-        for k in first:
-            x, y = top(int(ends[k, 0])), top(int(ends[k, 1]))
-            if x != y:
-                root[y] = x
-                out.append((cls[left[i[k]]], cls[right[j[k]]]))
-    a, b = np.array(out, np.int64).reshape(-1, 2).T
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-
-def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components whose members share a bucket without being its centre.
-
-    members(key, cls) are the buckets without their centres. Buckets of one membership
-    count once. A bucket's members get a block number by hash; each block meets each block
-    of its bucket once, in a task of its own, which gives a spanning forest of the links it finds.
+    members(key, cls) are the buckets without their first centres. Of two members in
+    different components one at least is a stray.
     """
     m = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("who")).where("lo <> hi")
-    keys = keys.groupBy("who", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    sides = m.select("key", "cls", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))).alias("at"), "block")
-    sides = sides.select("key", "at.p", "at.q", "block", "cls", "comp").join(sets, "cls")
-    return sides.groupBy("key", "p", "q").applyInArrow(lambda key, t: _links(key[1].as_py(), key[2].as_py(), t, percent), "a long, b long").distinct()
+    parts = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "top")
+    return m.join(tops, "key").select("key", "cls", "comp", (F.col("comp") != F.col("top")).alias("stray"))
+
+
+def _new_centres(opened: DataFrame, within: int, outside: int) -> DataFrame:
+    """Pairs (a, b) of each stray with members of its bucket that hashes pick: some of the largest component, some strays."""
+    pick = lambda i: F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), "cls", "comp")
+    centres = opened.groupBy("key").agg(*[F.min(F.when(~F.col("stray") if i < within else F.col("stray"), pick(i))).alias(f"c{i}") for i in range(within + outside)])
+    centres = centres.select("key", F.array(*[f"c{i}" for i in range(within + outside)]).alias("cs"))
+    pairs = opened.where("stray").join(centres, "key").select("cls", "comp", F.explode(F.array_distinct("cs")).alias("c")).where("c.comp <> comp")
+    return pairs.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
+
+
+def _by_prefix(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) in different components, one a stray, that can reach percent.
+
+    Shingles are ordered by the number of open sets that hold them. Of a set of n the
+    first n - ceil(percent n) + 1 count; a pair's first common one at places p and q
+    leaves min(n - p, m - q) more, which has to suffice. Sets of like size meet only.
+    """
+    who = opened.groupBy("cls").agg(F.any_value("comp").alias("comp"), F.max("stray").alias("stray"))
+    full = cut(who.join(sets, "cls").select("cls", "comp", "stray", F.size("vals").alias("n"), "vals"))
+    each = full.select("cls", "comp", "stray", "n", F.explode("vals").alias("v"))
+    often = each.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1").select("v", "df", (F.col("lo") != F.col("hi")).alias("across"))
+    # Shingles of one set alone come first in the order: their number shifts the places of the others.
+    shared = each.join(often, "v").groupBy("cls", "comp", "stray", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v", "across"))).alias("vs"))
+    head = (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("vs"))).cast("int")
+    ratio = 100.5 / percent  # a little more than the most that two sizes may differ by
+    near = shared.where(head > 0).select("cls", "comp", "stray", "n", F.floor(F.log("n") / F.log(F.lit(ratio))).cast("int").alias("band"), (F.col("n") - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", F.lit(1), head)).alias("i", "x"))
+    near = cut(near.where("x.across").select("cls", "comp", "stray", "n", "band", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.v").alias("v")))
+    s = near.where("stray").select(F.col("cls").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("rest").alias("ar"), "v", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    u = near.select(F.col("cls").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("rest").alias("br"), F.col("stray").alias("bs"), "v", "band")
+    enough = (100 + percent) * F.least("ar", "br") >= percent * (F.col("an") + F.col("bn"))
+    both = s.join(u, (s["v"] == u["v"]) & (s["band"] == u["band"]) & (F.col("ac") != F.col("bc")) & (~F.col("bs") | (F.col("a") < F.col("b"))) & enough)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after links(a, b) between components: the components stand for their members."""
+    at = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}c"))
+    bridges = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    upper = cut(components(bridges))
+    nodes = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    return cut(nodes.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -193,24 +196,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
     """near_duplicates with the hash of each row's id and text, and comp, which names the components of two rows or more."""
-    s = cut(sketches(docs))
-    classes = s.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
+    s = _told_apart(cut(sketches(docs)))
+    classes = s.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.min("row").alias("row"))
     buckets = cut(classes.select("cls", F.explode("keys").alias("key")))
     hubs = buckets.groupBy("key").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     members = cut(buckets.join(hubs, "key"))
     stars = cut(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
-    reps = cut(classes.select("cls", "doc_id").join(stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+    reps = cut(classes.select("cls", "row").join(stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
     sets = cut(_sets(docs, reps))
-    links = cut(_confirm(stars, sets, percent))
-    comps = cut(components(links))
-    missed = cut(_rest(members.where("cls <> hub").select("key", "cls"), comps, sets, percent))
-    if missed.limit(1).count():
-        # Links between components join them; the components stand for their members.
-        at = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}c"))
-        bridges = missed.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-        upper = cut(components(bridges))
-        nodes = comps.unionByName(missed.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
-        comps = cut(nodes.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    comps = cut(components(cut(_confirm(stars, sets, percent))))
+    rest = members.where("cls <> hub").select("key", "cls")
+    opened = cut(_open(rest, comps))
+    if sum(CENTRES):
+        comps = _joined(comps, cut(_confirm(_new_centres(opened, *CENTRES), sets, percent)))
+        opened = cut(_open(opened.select("key", "cls"), comps))
+    found = cut(_confirm(_by_prefix(opened, sets, percent), sets, percent))
+    if found.limit(1).count():
+        comps = _joined(comps, found)
     of = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls")
     least = of.groupBy("comp").agg(F.min("doc_id").alias("least"))
     of = of.join(least, "comp").select("cls", "comp", "least")
@@ -236,10 +238,9 @@ def keep_one_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = kept.join(first.where("k > 1"), "comp").where("row <> first")
     gone = cut(rows.where("not kept").select("row").unionByName(rest.select("row")).distinct())
     twice = cut(kept.where("n > 1").select("row").join(gone, "row", "left_anti"))
-    few = lambda keys, n: F.broadcast(keys) if n <= BROADCAST_ROWS else keys
     n = twice.count()
-    gone, twice = few(gone, gone.count()), few(twice, n)
-    left = docs.select(F.struct("*").alias("doc"), _row_key().alias("row")).join(gone, "row", "left_anti")
+    gone, twice = _few(gone), _few(twice)
+    left = docs.select(F.struct("*").alias("doc"), row_key().alias("row")).join(gone, "row", "left_anti")
     if not n:
         return left.select("doc.*")
     once = left.join(twice, "row", "left_anti").select("doc")
