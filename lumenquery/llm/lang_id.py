@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .io import as_bytes, chunks, cut
+from .io import as_bytes, chunks, cut, row_key
 
-#: Most labelled rows that the text models are fitted on, and bytes taken of each.
-SAMPLE, SAMPLE_CHARS = 4_000, 8_000
+#: Most labelled texts that the text models are fitted on, in equal shares of the languages.
+SAMPLE = 4_000
 BUCKETS = 1 << 16
 #: Trigrams whose evidence a text may bring, and rows' worth of prior at each level.
 TEMPER, SUFFIX_ROWS, HOST_ROWS = 60, 20.0, 10.0
@@ -30,6 +30,9 @@ ACCEPT = 0.5
 #: Rows that may be broadcast: hosts with their priors, or keys of rejected rows.
 BROADCAST_ROWS = 200_000
 
+#: The language that an html tag declares.
+_DECLARED = r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)"""
+
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
@@ -47,13 +50,10 @@ def _grams(raw: np.ndarray) -> np.ndarray:
 class TextModel:
     """Log probabilities of byte trigrams per language."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
-        self.langs = sorted(set(langs))
-        n = np.zeros((len(self.langs), BUCKETS))
-        for t, lang in zip(texts, langs, strict=True):
-            if len(t) >= 3:
-                n[self.langs.index(lang)] += np.bincount(_grams(np.frombuffer(t, np.uint8)), minlength=BUCKETS)
-        n += 0.1
+    def __init__(self, langs: list[str], counts: np.ndarray):
+        """langs in code-point order and the trigram counts of each, one row of BUCKETS."""
+        self.langs = langs
+        n = counts + 0.1
         self.logs = np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()
 
     def posterior(self, text: bytes | None) -> np.ndarray | None:
@@ -76,11 +76,45 @@ class TextModel:
         return p / p.sum()
 
 
+def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, np.ndarray] = {}
+    for b in chunks(batches):
+        for lang, t in zip(b.column(0).to_pylist(), as_bytes(b), strict=True):
+            if len(t) >= 3:
+                n = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for at in range(0, len(t), 1 << 20):
+                    raw = np.frombuffer(t[at : at + (1 << 20) + 2], np.uint8)
+                    if len(raw) >= 3:
+                        n += np.bincount(_grams(raw), minlength=BUCKETS)
+    for lang, n in total.items():
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "gram", "n"])
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fit on at most sample rows of labelled(text, lang), taken by hash of the text."""
-    rows = labelled.where("text is not null and lang is not null").select(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"), F.col("lang").cast("string").alias("lang"))
-    got = rows.orderBy(F.xxhash64("text"), "lang").limit(sample).toPandas()
-    return TextModel([t.encode() for t in got["text"]], got["lang"].tolist())
+    """Fit on about sample distinct texts of labelled(text, lang), read whole.
+
+    Each language gives an equal share, those of least hash, so copies of a text count once
+    and a rare language is heard. A first pass counts the distinct texts of each language;
+    the second takes the texts whose hash is below the share of that number. Trigrams are
+    counted where the texts are: only one count per language and trigram reaches the driver,
+    however long the texts. Rows with a null text or language take no part.
+    """
+    rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    h = F.xxhash64("text")
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()}
+    langs = sorted(there)
+    counts = np.zeros((len(langs), BUCKETS))
+    if langs:
+        share = max(1, sample // len(langs))
+        part = {x: min(1.0, 1.1 * share / max(n, 1)) for x, n in there.items()}
+        most = F.create_map(*[F.lit(v) for x in langs for v in (x, int(part[x] * (1 << 62)))])[F.col("lang")]
+        low = rows.where(F.shiftrightunsigned(h, 2) <= most).groupBy("lang", h.alias("h")).agg(F.any_value("text").alias("text"))
+        order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 2), "h")
+        chosen = low.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("lang", "text")
+        got = chosen.mapInArrow(_trigram_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+        counts[np.searchsorted(np.array(langs, object), got["lang"].to_numpy(object)), got["gram"]] = got["n"]
+    return TextModel(langs, counts)
 
 
 def _scored(evidence: DataFrame, model: TextModel) -> DataFrame:
@@ -160,8 +194,18 @@ def identify(docs: DataFrame, model: TextModel, host: Column | None = None, suff
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """identify over documents: the source is the host; text models come from labelled rows of docs itself."""
-    return identify(docs, fit(docs, sample), host=F.col("source"))
+    """identify over documents: text models come from labelled rows of docs itself.
+
+    The source is the host, what follows its last dot the address suffix (none without a
+    dot), and the declared language that of an html tag in the text (none in plain text).
+    """
+    return identify(docs, fit(docs, sample), **_evidence())
+
+
+def _evidence() -> dict[str, Column]:
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    told = F.when(text.contains("<html") | text.contains("<HTML"), F.regexp_extract(text, _DECLARED, 1))
+    return {"host": source, "suffix": F.when(source.contains("."), F.substring_index(source, ".", -1)), "declared": told}
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -170,14 +214,18 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, sample: int = SAMPLE)
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     host = F.expr(r"regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)")
     host = F.when(host != "", host)
-    told = F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1)
+    told = F.regexp_extract(html, _DECLARED, 1)
     return identify(pages.withColumn("text", body), fit(labelled, sample), host=host, suffix=F.substring_index(host, ".", -1), declared=told)
 
 
 def keep_accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose language is accepted, with their columns; rejected rows are found by id and text."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
-    said = identify(docs.select("text", "source", key.alias("row_key")), fit(docs, sample), host=F.col("source"))
+    """The rows of docs whose language is accepted, with their columns; rejected rows are found by id and text.
+
+    Rows with null or empty texts or texts without letters are rejected; a null id or source
+    is allowed; rows equal in id, text and source fare alike.
+    """
+    key = row_key("doc_id", "text", "source")
+    said = identify(docs.select("text", "source", key.alias("row_key")), fit(docs, sample), **_evidence())
     gone = cut(said.where("not accepted").select(F.col("row_key").alias("__key")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
