@@ -13,6 +13,8 @@ each source's permuted blocks and order rows locally by a hash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,31 +92,44 @@ def taken(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most
     return whole.unionByName(last).withColumn("taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long"))
 
 
+def _let(value: Column, f) -> Column:  # noqa: ANN001
+    """f of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _log_factorial(k: Column) -> Column:
+    """ln k!, from a table below 20 and by Stirling's series (1e-13) above."""
+    x = k.cast("double") + 1.0
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(k < 20, F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)]), (k + 1).cast("int"))).otherwise(series)
+
+
 def _draw(n: Column, good: Column, total: Column, u: Column) -> Column:
-    """Inverse of the hypergeometric distribution at u: good ones among n drawn of total, from log weights."""
-    low = F.greatest(F.lit(0).cast("long"), n + good - total)
-    high = F.least(n, good)
-    ratio = lambda k: F.log((good - k + 1).cast("double") * (n - k + 1) / (k.cast("double") * (total - good - n + k)))
-    walk = F.aggregate(
-        F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>")),
-        F.array(F.lit(0.0)),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + ratio(k))),
-    )
-    scaled = lambda logs: F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    """Inverse of the hypergeometric distribution at u: good ones among n drawn of total.
+
+    Only values within 10 standard deviations of the mean are weighed: u has 52 bits, so
+    no other can be drawn.
+    """
+    mean = n.cast("double") * good / F.greatest(total, F.lit(1))
+    sd = F.sqrt(F.greatest(F.lit(0.0), mean * (total - good) * (total - n) / F.greatest(total, F.lit(1)) / F.greatest(total - 1, F.lit(1))))
+    low = F.greatest(F.lit(0).cast("long"), n + good - total, F.floor(mean - 10 * sd - 2).cast("long"))
+    high = F.least(n, good, F.ceil(mean + 10 * sd + 2).cast("long"))
+    log_weight = lambda k: -(_log_factorial(k) + _log_factorial(good - k) + _log_factorial(n - k) + _log_factorial(total - good - n + k))
+    scaled = lambda logs: _let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
     pick = lambda ws: F.aggregate(
         ws,
         F.struct(F.lit(0.0).alias("cum"), F.lit(0).cast("long").alias("at"), (u * F.aggregate(ws, F.lit(0.0), lambda a, x: a + x)).alias("goal")),
         lambda acc, x: F.struct((acc["cum"] + x).alias("cum"), F.when(acc["cum"] + x < acc["goal"], acc["at"] + 1).otherwise(acc["at"]).alias("at"), acc["goal"].alias("goal")),
     )["at"]
-    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    return let(walk, lambda logs: let(scaled(logs), lambda ws: F.least(high, low + pick(ws))))
+    return _let(F.struct(low.alias("lo"), high.alias("hi")), lambda r: F.when(r["hi"] <= r["lo"], r["lo"]).otherwise(_let(scaled(F.transform(F.sequence(r["lo"], r["hi"]), log_weight)), lambda ws: F.least(r["hi"], r["lo"] + pick(ws)))))
 
 
 def split_quotas(quotas: DataFrame, depth: int, seed: int = 7) -> DataFrame:
     """Deal (source, quota) to 2**depth shards: rows (shard, source, quota) whose sums are the quotas.
 
-    A tree node is one row with the quotas of all sources; its left child gets half of
-    its blocks (rounded up), drawn source after source.
+    A tree node is one row with the quotas of all sources, so a row grows with the number
+    of sources (24 bytes each) and not with the data; its left child gets half of its
+    blocks (rounded up), drawn source after source. No quotas give no rows.
     """
     nodes = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("z"), "source", "quota"))).alias("q")).select(F.lit(0).alias("node"), "q")
     kind = "struct<left:array<bigint>,n:bigint,total:bigint>"
@@ -140,24 +155,31 @@ def mix(docs: DataFrame, depth: int = 4, weights: tuple = WEIGHTS, share: float
 
     shards lists, for each time that the mix takes words of the row, (shard, spot, words):
     the output shard and the row's local place in it. Block draws, pass after pass, are
-    dealt to shards by split_quotas. The mix is a function of the rows and the seed only.
+    dealt to shards by split_quotas, and taken is what the dealt draws of the row's block
+    give. The mix is a function of the rows and the seed only. Null texts have no words;
+    null sources are one source; rows that repeat are rows of their own; whole texts
+    count; other columns are dropped; an empty table gives no rows.
     """
     sized = cut(sizes(docs, seed))
-    rows = taken(sized, weights, share, most)
+    rows = taken(sized, weights, share, most).drop("taken")
     goal = targets(sized, weights, share, most)
     block = Window.partitionBy("source").orderBy("block")
     quota = F.floor("target").cast("long")
     ranks = _blocks(sized, goal).withColumn("place", F.row_number().over(block) - 1)
     ranks = ranks.withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("source"))).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    used = F.col("passes") + F.when((quota - F.col("passes") * F.col("source_size") - F.col("before") > 0) & (F.col("words") > 0), F.lit(1)).otherwise(F.lit(0))
-    ranks = cut(ranks.select("source", "block", "place", "n_blocks", "passes", used.alias("used")))
+    last = ((quota - F.col("passes") * F.col("source_size") - F.col("before") > 0) & (F.col("words") > 0)).cast("long")
+    ranks = ranks.withColumn("last", last).withColumn("last_place", F.sum("last").over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    ranks = cut(ranks.select("source", "block", "place", "n_blocks", "passes", "last_place", (F.col("passes") + F.col("last")).alias("used")))
     shares = split_quotas(ranks.groupBy("source").agg(F.sum("used").cast("long").alias("quota")), depth)
     upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = shares.withColumn("end", F.sum("quota").over(upto)).groupBy(F.col("source").alias("s_source")).agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    # The t-th draw of a source's block at place p has the number t * n_blocks + p among the source's draws.
-    draws = F.transform(F.when(F.col("used") > 0, F.sequence(F.lit(0).cast("long"), F.col("used") - 1)).otherwise(F.array().cast("array<bigint>")), lambda t: F.size(F.filter("ends", lambda e: e <= t * F.col("n_blocks") + F.col("place"))))
+    # Draws are numbered through a source's passes over its blocks, the last over those that still give words.
+    number = lambda t: t * F.col("n_blocks") + F.when(t < F.col("passes"), F.col("place")).otherwise(F.col("last_place"))
+    draws = F.transform(F.when(F.col("used") > 0, F.sequence(F.lit(0).cast("long"), F.col("used") - 1)).otherwise(F.array().cast("array<bigint>")), lambda t: F.size(F.filter("ends", lambda e: e <= number(t))))
     dealt = ranks.join(ends, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), draws.alias("draws"))
     out = rows.join(dealt, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
     spot = F.xxhash64(F.lit(seed), "perm", "size")
     got = F.transform("draws", lambda s, t: F.struct(s.alias("shard"), F.xxhash64(spot, t).alias("spot"), F.when(t < F.col("passes"), F.col("size")).otherwise(F.col("part")).cast("long").alias("words")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", F.filter(got, lambda x: x["words"] > 0).alias("shards"))
+    out = out.select("doc_id", "source", "size", "source_size", "target", F.filter(got, lambda x: (x["words"] > 0) & (x["shard"] < 1 << depth)).alias("shards"))
+    taken_words = F.aggregate("shards", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return out.select("doc_id", "source", "size", "source_size", "target", taken_words.alias("taken"), "shards")
