@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, isotonic
 from .io import as_bytes, chunks
 
-#: Most labelled rows that are used for fitting, and most characters of one of them.
-SAMPLE, SAMPLE_CHARS = 8_000, 50_000
+#: Most labelled rows that are used for fitting, read whole.
+SAMPLE = 8_000
 FOLDS = 3
 #: Common insults in four languages.
 INSULTS = frozenset(
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled rows, taken by hash of doc_id from those not held out."""
     chosen = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).alias("fold")).toPandas()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).alias("fold")).toPandas()
     rows = rows.drop_duplicates("text").sort_values(["doc_id", "text"])
     return Model(rows["text"].tolist(), rows["toxic"].to_numpy(float), rows["fold"].to_numpy(int))
 
@@ -168,7 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     fitting. Null texts are scored as empty ones; null ids aren't held out; repeated rows
     get equal scores; labels other than 0 and 1 are ignored; without labels of both kinds
     all scores are the labels' mean (0 without any). Further columns are dropped. Fitting
-    sees up to sample rows of SAMPLE_CHARS characters; scoring reads whole texts.
+    sees up to sample labelled rows; it and scoring read whole texts, however long.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
