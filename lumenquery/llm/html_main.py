@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +41,9 @@ SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": f
 _WALL = frozenset("body html table td th div section article aside nav main header footer form ul ol dl blockquote".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name: attributes up to ">", which may stand inside quotes.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACES = re.compile(r"\s+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -72,58 +75,84 @@ class Page:
         self.runs: list[tuple[int, int, str]] = []  # node, block number, text
         self._parse(source)
 
+    def _tags(self, s: str) -> Iterator[tuple[int, int, str, str, str]]:
+        """Start, end, slash, name and attributes of each tag; name is empty for comments and declarations.
+
+        Every character is looked at a bounded number of times: where a quote is never
+        closed, tags end at their first ">" from there on.
+        """
+        at, last, quotes = 0, s.rfind(">"), True
+        while (start := s.find("<", at)) >= 0:
+            if s.startswith("<!--", start):
+                end = s.find("-->", start + 4)
+                end = len(s) if end < 0 else end + 3
+                yield start, end, "", "", ""
+            elif start > last:
+                return
+            elif s[start + 1] in "!?":
+                end = s.index(">", start) + 1
+                yield start, end, "", "", ""
+            elif m := _NAME.match(s, start + 1):
+                rest = _REST.match(s, m.end()) if quotes else None
+                if rest is None:
+                    quotes, end = False, s.index(">", start) + 1
+                    yield start, end, m[1], m[2], s[m.end() : end - 1]
+                else:
+                    end = rest.end()
+                    yield start, end, m[1], m[2], rest[1]
+            else:
+                at = start + 1
+                continue
+            at = end
+            if self._skip > at:
+                at = self._skip
+
     def _parse(self, s: str) -> None:
-        stack, block, at = [0], 0, 0
-        n = len(s)
-        while at < n:
-            m = _TAG.search(s, at)
-            end = m.start() if m else n
-            if end > at:
-                self.runs.append((stack[-1], block, html_lib.unescape(s[at:end])))
-            if not m:
-                break
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+        stack, block, at, self._skip = [0], 0, 0, 0
+        where: dict[str, list[int]] = defaultdict(list)  # places on the stack of each open tag
+        top = lambda tags: max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+        def pop_to(k: int) -> None:
+            while len(stack) > k:
+                where[self.tag[stack.pop()]].pop()
+
+        for start, end, slash, tag, attrs in self._tags(s):
+            if start > at:
+                self.runs.append((stack[-1], block, html_lib.unescape(s[at:start])))
+            at = end
+            if not tag:
                 continue
             tag = tag.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = self.tag[stack[k]]
-                    if open_tag == tag:
-                        del stack[k:]
-                        break
-                    if tag in INLINE and open_tag in _WALL:
-                        break
+            if slash:
+                k = top((tag,))
+                if k and not (tag in INLINE and top(_WALL) > k):
+                    pop_to(k)
                 block += tag in BLOCK
                 continue
-            shut = CLOSES.get(tag)
-            if shut:
-                scope = SCOPE.get(tag, _WALL)
-                for k in range(len(stack) - 1, 0, -1):
-                    open_tag = self.tag[stack[k]]
-                    if open_tag in shut:
-                        del stack[k:]
-                        if tag not in SCOPE:
-                            break
-                    elif open_tag in scope:
-                        break
-                    if k >= len(stack):
-                        continue
+            if shut := CLOSES.get(tag):
+                wall = top(SCOPE.get(tag, _WALL) - shut)
+                if tag in SCOPE:
+                    firsts = [where[t][i] for t in shut if where.get(t) and (i := bisect_right(where[t], wall)) < len(where[t])]
+                    pop_to(min(firsts, default=len(stack)))
+                elif (k := top(shut)) > wall:
+                    pop_to(k)
             block += tag in BLOCK
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.attr.append(m[3] if m[3] and not m[3].isspace() else "")
+            self.attr.append(attrs if attrs and not attrs.isspace() else "")
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(s, at)
                 if tag == "textarea":
                     self.runs.append((node, block, ""))
-                at = close.end() if close else n
+                at = self._skip = close.end() if close else len(s)
             elif tag == "br":
                 self.runs.append((stack[-1], block, " "))
-            elif tag not in VOID and not m[3].endswith("/"):
+            elif tag not in VOID and not attrs.endswith("/"):
+                where[tag].append(len(stack))
                 stack.append(node)
+        if at < len(s):
+            self.runs.append((stack[-1], block, html_lib.unescape(s[at:])))
 
     def features(self) -> list[tuple]:
         """Per node: tag, cues of its attributes, link share, length and punctuation classes."""
