@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .io import cut
 
-#: Vectors that the partition and the classifier are fitted on; neighbours in the graph.
-SAMPLE, GRAPH = 8192, 10
-#: Vectors per part that are aimed at, bounds on the number of parts, and vectors or queries of one task's block.
-PER_PART, LEAST_PARTS, MOST_PARTS, BLOCK = 4096, 8, 256, 1024
-#: Recall on the sample from which the number of visited parts is taken.
+#: Vectors that the partition and the classifier are fitted on (more where parts are many), of each part at least; neighbours in the graph.
+SAMPLE, SAMPLE_PER_PART, GRAPH = 8192, 8, 10
+#: Vectors per part that are aimed at, bounds on the number of parts (33 million vectors; parts are larger beyond), and vectors or queries of one task's block.
+PER_PART, LEAST_PARTS, MOST_PARTS, BLOCK = 4096, 8, 8192, 1024
+#: One in so many sampled vectors is kept from fitting; the number of visited parts reaches RECALL on these.
+HELD_OUT = 8
+#: Recall on the held-out vectors from which the number of visited parts is taken.
 RECALL = 0.97
 
 
@@ -107,21 +109,25 @@ class Router:
 
 
 class Index:
-    """Partition, classifier, and the number of parts to visit for RECALL on the sample."""
+    """Partition, classifier, and the number of parts to visit for RECALL on vectors that neither was fitted on."""
 
     def __init__(self, x: np.ndarray, parts: int, k: int):
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.parts = parts
-        part, graph = partition_graph(x, parts)
+        test = np.arange(0, len(x), HELD_OUT)
+        fitted = np.delete(x, test, axis=0)
+        part, graph = partition_graph(fitted, parts)
         target = np.eye(parts)[part]
         if graph.shape[1]:
             target = 0.5 * target + 0.5 * np.eye(parts)[part[graph]].mean(axis=1)
-        self.router = Router(x, target)
-        order = self.router.order(x)
-        home = order[:, 0]
-        test = np.arange(0, len(x), max(1, len(x) // 1000))
-        best = _knn(x, k)[test] if len(x) > k else np.zeros((len(test), 0), int)
-        place = np.argsort(order[test], axis=1)  # rank of each part for each query
+        self.router = Router(fitted, target)
+        home = self.router.order(x)[:, 0]
+        test = test[:2000]
+        s = x[test] @ x.T
+        s[np.arange(len(test)), test] = -np.inf
+        near = min(k, len(x) - 1)
+        best = np.argpartition(-s, near - 1, axis=1)[:, :near] if near > 0 else np.zeros((len(test), 0), int)
+        place = np.argsort(self.router.order(x[test]), axis=1)  # rank of each part for each query
         ranks = np.take_along_axis(place, home[best], axis=1) if best.shape[1] else np.zeros((1, 1))
         self.visit = next((m for m in range(1, parts + 1) if (ranks < m).mean() >= RECALL), parts)
 
@@ -130,10 +136,10 @@ class Index:
 
 
 def _usable(vectors: DataFrame, column: str) -> DataFrame:
-    """vec_id and v, one row per id: vectors that are not null, not zero and finite throughout."""
+    """row (a number of its own), vec_id and v: vectors that are not null, not zero and finite throughout."""
     v = F.col(column).cast("array<double>")
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def _matrix(col) -> np.ndarray:
@@ -144,14 +150,14 @@ def _matrix(col) -> np.ndarray:
 def _best(t: pa.Table, k: int) -> pa.Table:
     """The k nearest candidates of each query of one block, by cosine in double precision."""
     query = t.column("q").to_numpy()
-    ids, x = t.column("vec_id").to_numpy(), _matrix(t.column("v"))
+    rows, ids, x = t.column("row").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v"))
     cand, ask = np.flatnonzero(~query), np.flatnonzero(query)
-    out = ([], [], [])
+    out = ([], [], [], [])
     if len(cand) and len(ask):
         cand = cand[np.argsort(ids[cand], kind="stable")]
         norm = np.sqrt((x * x).sum(axis=1))
         rough = (x[ask] / norm[ask, None]) @ (x[cand] / norm[cand, None]).T
-        rough[ids[ask][:, None] == ids[cand][None, :]] = -np.inf
+        rough[rows[ask][:, None] == rows[cand][None, :]] = -np.inf
         keep = min(k, len(cand))
         floor = np.partition(rough, len(cand) - keep, axis=1)[:, len(cand) - keep] - 1e-9
         for row, i in enumerate(ask):
@@ -161,15 +167,20 @@ def _best(t: pa.Table, k: int) -> pa.Table:
             out[0].append(np.full(len(top), ids[i]))
             out[1].append(ids[near[top]])
             out[2].append(s[top])
+            out[3].append(np.full(len(top), rows[i]))
     col = lambda a, kind: pa.array(np.concatenate(a).astype(kind) if a else np.empty(0, kind))
-    return pa.table({"query_id": col(out[0], np.int64), "vec_id": col(out[1], np.int64), "score": col(out[2], np.float64)})
+    return pa.table({"query_id": col(out[0], np.int64), "vec_id": col(out[1], np.int64), "score": col(out[2], np.float64), "row": col(out[3], np.int64)})
 
 
 def _search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
     """Search of one table (vec_id, v) of equally long vectors."""
     n = vectors.count()
     parts = int(min(MOST_PARTS, max(LEAST_PARTS, 2 ** np.ceil(np.log2(max(n, 1) / PER_PART)))))
-    sample = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
+    most = max(SAMPLE, SAMPLE_PER_PART * parts)
+    # Rows are chosen by a hash below a bound first, so that the driver sees a little more than it keeps.
+    bound = int(min(1.0, 1.3 * most / max(n, 1)) * (1 << 52))
+    some = vectors.where(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 52)) <= bound).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(most)
+    sample = np.array([r["v"] for r in some.select("v").collect()])
     if len(sample) < 4 * parts:
         parts = 1
     index = vectors.sparkSession.sparkContext.broadcast(Index(sample, parts, k) if parts > 1 else None)
@@ -178,23 +189,23 @@ def _search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 m = index.value
-                x = _matrix(b.column(1))
+                x = _matrix(b.column(2))
                 order = m.route(x)[:, : m.visit] if m else np.zeros((len(x), 1), int)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "v", "route"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["row", "vec_id", "v", "route"])
 
-    filed = cut(vectors.mapInArrow(file, "vec_id long, v array<double>, route array<int>"))
+    filed = cut(vectors.mapInArrow(file, "row long, vec_id long, v array<double>, route array<int>"))
     home = F.element_at("route", 1)
     # One row per part, at most MOST_PARTS.
     size = {r["p"]: r["n"] for r in filed.groupBy(home.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     asks = filed.where(queries)
     asked = {r["p"]: r["n"] for r in asks.select(F.explode("route").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = lambda of: F.create_map(*[F.lit(int(x)) for p in range(parts) for x in (p, -(-of.get(p, 0) // BLOCK) or 1)])
-    spread = lambda p, of, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), blocks(of)[p]).cast("int")
+    spread = lambda p, of, salt: F.pmod(F.xxhash64(F.lit(salt), "row"), blocks(of)[p]).cast("int")
     every = lambda p, of: F.explode(F.sequence(F.lit(0), blocks(of)[p] - 1))
-    cand = filed.select(F.lit(False).alias("q"), "vec_id", "v", home.alias("part")).select("*", spread(F.col("part"), size, 1).alias("cb")).select("*", every(F.col("part"), asked).alias("qb"))
-    asks = asks.select(F.lit(True).alias("q"), "vec_id", "v", F.explode("route").alias("part")).select("*", spread(F.col("part"), asked, 2).alias("qb")).select("*", every(F.col("part"), size).alias("cb"))
-    found = cand.unionByName(asks).groupBy("part", "cb", "qb").applyInArrow(lambda t: _best(t, k), "query_id long, vec_id long, score double")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cand = filed.select(F.lit(False).alias("q"), "row", "vec_id", "v", home.alias("part")).select("*", spread(F.col("part"), size, 1).alias("cb")).select("*", every(F.col("part"), asked).alias("qb"))
+    asks = asks.select(F.lit(True).alias("q"), "row", "vec_id", "v", F.explode("route").alias("part")).select("*", spread(F.col("part"), asked, 2).alias("qb")).select("*", every(F.col("part"), size).alias("cb"))
+    found = cand.unionByName(asks).groupBy("part", "cb", "qb").applyInArrow(lambda t: _best(t, k), "query_id long, vec_id long, score double, row long")
+    rank = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -203,8 +214,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, column: str = "embe
 
     Nearest is the largest cosine, ties to the smaller id; a vector isn't its own
     neighbour. Null and zero vectors and those that hold a null or non-finite component
-    take no part, nor do null ids; of rows with one id the smallest vector counts; vectors
-    are compared with those of their own length. Fewer candidates than k give fewer rows,
+    take no part, nor do null ids; rows that share an id are rows of their own, as queries
+    and as candidates; vectors are compared with those of their own length. Fewer candidates than k give fewer rows,
     an empty table none. Further columns are dropped.
     """
     rows = cut(_usable(vectors, column))
