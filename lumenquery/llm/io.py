@@ -30,11 +30,13 @@ def row_key(*names: str) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset on one machine, as in tests, a temporary one is made.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import as_bytes, chunks, cut
+from .io import as_bytes, chunks, cut, row_key
 from .kernels import as_long, span_hash, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -58,7 +58,7 @@ def spans_of(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("__row"))
+    return docs.select(F.col("text").cast("string").alias("text"), row_key()["a"].alias("__row"))
 
 
 def _spans(docs: DataFrame, window: int) -> DataFrame:
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     made = ["n_words", "n_removed", "kept_text"]
     kept = [c for c in docs.columns if c.lower() not in made]
-    keyed = docs.select(F.struct(*kept).alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("__row"))
+    keyed = docs.select(F.struct(*kept).alias("doc"), F.col("text").cast("string").alias("text"), row_key()["a"].alias("__row"))
     hit, miss = _only(keyed, repeated_spans(docs))
     both = hit.select("doc", "text", "__list")
     if miss is not None:
