@@ -9,9 +9,9 @@ EARTH_RADIUS_M = 6_371_000.0
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null where a coordinate is."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def parse_iso6709(s: Column) -> Column:

@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
+from ..session import cut
+
 #: Similarity of photos, and of videos at that photo threshold.
 PHOTO, VIDEO = 0.985, 0.97
 #: Vectors in a block of the blocked self-join.
@@ -68,8 +71,6 @@ def video_similarity(frames: DataFrame, threshold: float = VIDEO) -> DataFrame:
     cand = cand.select("a", "b", F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("small"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("large"))
     s = f.select(F.col("asset_id").alias("small"), F.col("ts_secs").alias("st"), F.col("vector").alias("sv"))
     g = f.select(F.col("asset_id").alias("large"), F.col("vector").alias("gv"))
-    from ..functions.vectors import dot
-
     score = F.when(F.size("sv") == F.size("gv"), dot(F.col("sv"), F.col("gv"))).otherwise(F.lit(-3.4028234663852886e38))
     best = cand.join(s, "small").join(g, "large").groupBy("a", "b", "st").agg(F.max(score).alias("best"))
     return best.groupBy("a", "b").agg(F.avg("best").alias("score")).where(F.col("score") >= threshold)
@@ -81,18 +82,13 @@ def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     Labels travel along edges and jump to their label's label, so rounds grow with the
     logarithm of a chain; each round is checkpointed in the session's checkpoint folder.
     """
-    import tempfile
-
-    sc = pairs.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    e = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")).checkpoint()
+    e = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = cut(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     for _ in range(rounds):
         near = e.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         step = labels.join(near, "id").select("id", F.least("label", "m").alias("label"))
         jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", F.least("label", "up").alias("new"))
-        new = jump.join(labels, "id").checkpoint()
+        new = cut(jump.join(labels, "id"))
         if new.where("new <> label").limit(1).count() == 0:
             return labels.select(F.col("id").alias("asset_id"), F.col("label").alias("group_id"))
         labels = new.select("id", F.col("new").alias("label"))

@@ -2,49 +2,67 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.media import EARTH_RADIUS_M, haversine
+from ..session import cut
 
-#: Rows of the places table that are broadcast at most (about 100 bytes each).
-BROADCAST_PLACES = 1_000_000
-
+#: Degrees that divide the circle into three cells or more.
+WIDTHS = (1, 2, 3, 4, 5, 6, 9, 10, 12, 15, 18, 20, 30, 45)
 
-def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
-    """points(key, lat, lon) with the nearest of places(line_no, lat, lon, ...), the first line on ties.
 
-    A gazetteer that fits is broadcast once and the best is a grouped minimum, combined on
-    the map side. A larger one goes by bands of latitude, see nearest_place_banded.
-    """
-    if places.limit(BROADCAST_PLACES + 1).count() > BROADCAST_PLACES:
-        return nearest_place_banded(points, places)
-    p = F.broadcast(places.select("line_no", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "place"))
+def _round(left: DataFrame, here: DataFrame, width: int, meridians: bool) -> DataFrame:
+    """left(key, lat, lon) with the best place of the cells about each point, and how far those are sure to reach."""
+    around = lambda c, wrap: F.explode(F.array(*[F.pmod(c + i, F.lit(wrap)) if wrap else c + i for i in (-1, 0, 1)]))
+    row = lambda c: F.floor(F.col(c) / width)
+    n = 360 // width
+    column = lambda c: F.pmod(F.floor((F.col(c) + 180) / width), F.lit(n)) if meridians else F.lit(0)
+    # Places, the smaller side, are put into all nine cells; a point looks into its own.
+    near = here.select("*", around(row("plat"), 0).alias("ci")).select("*", around(column("plon"), n).alias("cj") if meridians else F.lit(0).alias("cj"))
+    found = left.select("key", "lat", "lon", row("lat").alias("ci"), column("lon").alias("cj")).join(near, ["ci", "cj"], "left")
     d = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    best = points.join(p).groupBy("key").agg(F.min(F.struct(d.alias("d"), "line_no", "place")).alias("b"))
-    return best.select("key", "b.line_no", "b.place", F.col("b.d").alias("distance_m"))
+    best = found.groupBy("key", "lat", "lon").agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("d"), "line_no", "place"))).alias("b"))
+    turn = math.radians(width)
+    reach = F.least(F.lit(turn), F.asin(F.cos(F.radians("lat")) * math.sin(turn))) if meridians else F.lit(turn)
+    return best.withColumn("reach", EARTH_RADIUS_M * reach)
 
 
-def nearest_place_banded(points: DataFrame, places: DataFrame, rounds: int = 9) -> DataFrame:
-    """As nearest_place by equi-joins on bands of latitude, doubling the reach until each answer is certain.
+def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
+    """points(key, lat, lon) with the nearest of places(line_no, lat, lon, place), the first line on ties.
 
-    A point is settled once its nearest candidate is no farther than the reach in latitude
-    covers; the others go into the next round.
+    Points meet places on cells of latitude and longitude, about one place to a cell; an
+    answer nearer than the neighbouring cells reach is final. The few others go on with
+    wider cells, then with bands of latitude that double. A point without coordinates gets
+    a null place; places without them don't count; no places give rows for such points only.
     """
-    left, done, width = points, None, 1.0
-    for last in [False] * (rounds - 1) + [True]:
-        band = F.floor(F.col("lat") / width)
-        near = left.select("*", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        p = places.select(F.floor(F.col("lat") / width).alias("band"), "line_no", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "place")
-        d = haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-        best = near.join(p, "band").groupBy("key").agg(F.min(F.struct(d.alias("d"), "line_no", "place")).alias("b"))
-        sure = best if last else best.where(F.col("b.d") <= EARTH_RADIUS_M * width * 3.141592653589793 / 180)
-        done = sure if done is None else done.unionByName(sure)
-        if last:
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    here = places.where(known).select("line_no", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "place")
+    first = math.sqrt(64_800 / max(here.count(), 1))
+    fit = lambda w: next((x for x in WIDTHS if x >= w), WIDTHS[-1])
+    steps = [(fit(first), True), (fit(3 * first), True), *[(fit(3 * first) * 2**i, False) for i in range(9)]]
+    row = lambda x: x.select("key", "b.line_no", "b.place", F.col("b.d").alias("distance_m"))
+    done = [points.where(~known).select("key", F.lit(None).cast(here.schema["line_no"].dataType).alias("line_no"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("double").alias("distance_m"))]
+    left = points.where(known)
+    for width, meridians in steps:
+        got = cut(_round(left, here, width, meridians))
+        last = width >= 180 and not meridians
+        sure = F.col("b").isNotNull() if last else F.coalesce(F.col("b.d") < F.col("reach"), F.lit(False))
+        done.append(row(got.where(sure)))
+        left = got.where(~sure).select("key", "lat", "lon")
+        if last or not left.limit(1).count():
             break
-        left = left.join(sure.select("key"), "key", "left_anti")
-        width *= 2
-    return done.select("key", "b.line_no", "b.place", F.col("b.d").alias("distance_m"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def reverse_geocode(points: DataFrame, places: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:
+    """key, place, region and country of points, from places(line_no, lat, lon, place, cc, admin1) (ALG17)."""
+    at = nearest_place(points, places).join(places.select("line_no", "cc", "admin1"), "line_no", "left")
+    names = place_names(at.where("cc is not null").select("key", "cc", "admin1"), countries, regions)
+    return at.select("key", "place", "distance_m").join(names, "key", "left").select("key", "place", "region", "country", "distance_m")
 
 
 def place_names(rows: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 #: Fixed values of the beat tracker: window, hop and bins at 16 kHz; tempo range; gates.
 RATE, WIN, HOP, BINS = 16_000, 1024, 256, 512
@@ -34,7 +34,7 @@ def onset_envelope(pcm: np.ndarray) -> np.ndarray:
 
 
 def beat_grid(pcm: np.ndarray) -> dict | None:
-    """bpm, beats and downbeats in seconds; None without a clear pulse (ALG6)."""
+    """bpm, beats in seconds, downbeats as places among them, and loud spans; None without a clear pulse (ALG6)."""
     if len(pcm) < 8192:
         return None
     e = onset_envelope(np.asarray(pcm, float))
@@ -75,7 +75,7 @@ def beat_grid(pcm: np.ndarray) -> dict | None:
         return None
     strong = e[beats]
     anchor = len(beats) - 1 - int(strong[::-1].argmax())
-    return {"bpm": 60.0 / (period * STEP), "beats": (beats * STEP).tolist(), "downbeats": (beats[anchor % 4 :: 4] * STEP).tolist()}
+    return {"bpm": 60.0 / (period * STEP), "beats": (beats * STEP).tolist(), "downbeats": list(range(anchor % 4, len(beats), 4)), "high_energy": [{"start": a, "end": b} for a, b in loud_spans(pcm)]}
 
 
 def loud_spans(pcm: np.ndarray, shortest: float = 3.0) -> list[tuple[float, float]]:
@@ -112,7 +112,7 @@ def similarity_transform(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.hstack([scale * rot, (dst.mean(axis=0) - scale * rot @ src.mean(axis=0))[:, None]])
 
 
-BEATS = StructType().add("bpm", DoubleType()).add("beats", ArrayType(DoubleType())).add("downbeats", ArrayType(DoubleType()))
+BEATS = StructType().add("bpm", DoubleType()).add("beats", ArrayType(DoubleType())).add("downbeats", ArrayType(IntegerType())).add("high_energy", ArrayType(StructType().add("start", DoubleType()).add("end", DoubleType())))
 SPANS = ArrayType(StructType().add("start", DoubleType()).add("end", DoubleType()))
 
 
@@ -120,7 +120,7 @@ SPANS = ArrayType(StructType().add("start", DoubleType()).add("end", DoubleType(
 def beats(pcm: pd.Series) -> pd.DataFrame:
     """beat_grid of a PCM column."""
     got = [beat_grid(np.asarray(p)) if p is not None else None for p in pcm]
-    return pd.DataFrame({k: [g and g[k] for g in got] for k in ("bpm", "beats", "downbeats")})
+    return pd.DataFrame({k: [g and g[k] for g in got] for k in ("bpm", "beats", "downbeats", "high_energy")})
 
 
 @F.pandas_udf(SPANS)

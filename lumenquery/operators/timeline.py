@@ -98,7 +98,7 @@ def fill_span(hit: Hit, length: float) -> Slot:
     """A slot of a wanted length about a hit (ALG11, G21)."""
     if hit.ts is None:
         return Slot(hit.asset, "photo" if hit.faces else "photo_scenic", 0.0, length, hit.duration)
-    media = hit.duration if hit.duration is not None else length
+    media = hit.duration if hit.duration is not None else math.inf
     got = min(length, media)
     shot = shot_of(hit)[0]
     whole = media - shot >= got and hit.ts - shot <= got
@@ -159,7 +159,7 @@ class EditError(ValueError):
 def apply_ops(slots: list[Slot], ops: list[dict], candidates: dict[int, list[Hit]] | None = None, sharp: set[str] | None = None) -> list[Slot]:
     """A batch of edits, numbered from 1 on the given slots (ALG15, S4).
 
-    Ranges and values are checked before anything changes. Pins come first, then retime,
+    Ranges and values are checked before anything changes. Pins come first, then unpins, retime,
     transition, swap, drop and reorder. candidates gives the hits for each swap; a swap
     takes the first positive unused sharp one of ten, else unused, else positive.
     """
@@ -174,8 +174,9 @@ def apply_ops(slots: list[Slot], ops: list[dict], candidates: dict[int, list[Hit
     if len(orders) > 1:
         raise EditError("more than one reorder")
     by = lambda kind: [op for op in ops if op["op"] == kind]
-    for op in [o for o in ops if o["op"] in ("pin", "unpin")]:
-        new[op["slot"] - 1].pinned = op["op"] == "pin"
+    for kind in ("pin", "unpin"):
+        for op in by(kind):
+            new[op["slot"] - 1].pinned = kind == "pin"
     dropped = {op["slot"] for op in by("drop")}
     if any(new[k - 1].pinned for k in dropped):
         raise EditError("a pinned slot can't be dropped")
@@ -197,8 +198,8 @@ def apply_ops(slots: list[Slot], ops: list[dict], candidates: dict[int, list[Hit
         if pick is None:
             raise EditError("nothing to swap in")
         joint, length = new[k].joint, new[k].duration
-        new[k] = fill_span(pick, length)
-        new[k].duration, new[k].joint, new[k].pinned = length, joint, False
+        new[k] = fill_span(pick, length)  # no longer than its media
+        new[k].joint, new[k].pinned = joint, False
         used.add(pick.asset)
     left = [k for k in range(1, n + 1) if k not in dropped]
     if orders:

@@ -36,10 +36,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import views  # noqa: F401  registers its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import views  # noqa: F401  registers its queries
+
     return dict(_sql)
 
 

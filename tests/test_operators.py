@@ -147,12 +147,41 @@ def test_suppression(spark):
     assert sorted(r.box_id for r in cluster.suppress(b, "img").collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("banded", [False, True])
-def test_nearest_place(spark, banded):
-    c = spark.createDataFrame([(1, 32.53, 75.97, "Dalhousie"), (2, 32.22, 76.32, "Dharamsala"), (3, 37.77, -122.42, "San Francisco")], "line_no long, lat double, lon double, place string")
-    p = spark.createDataFrame([(1, 32.539, 75.972), (2, -60.0, 10.0)], "key long, lat double, lon double")
-    got = {r.key: r for r in (places.nearest_place_banded if banded else places.nearest_place)(p, c).collect()}
-    assert got[1].place == "Dalhousie" and got[1].distance_m < 5000 and got[2].place is not None
+def test_nearest_place(spark):
+    c = spark.createDataFrame([(1, 32.53, 75.97, "Dalhousie"), (2, 32.22, 76.32, "Dharamsala"), (3, 37.77, -122.42, "San Francisco"), (4, None, 1.0, "nowhere")], "line_no long, lat double, lon double, place string")
+    p = spark.createDataFrame([(1, 32.539, 75.972), (2, -60.0, 10.0), (3, None, 10.0)], "key long, lat double, lon double")
+    got = {r.key: r for r in places.nearest_place(p, c).collect()}
+    assert got[1].place == "Dalhousie" and got[1].distance_m < 5000 and got[2].place is not None and got[3].place is None
+
+
+@pytest.mark.parametrize("n", [3, 60, 3000])
+def test_nearest_place_equals_brute_force(spark, n):
+    """Both hemispheres, the poles and the date line."""
+    r = np.random.default_rng(n)
+    lat = np.degrees(np.arcsin(r.uniform(-1, 1, n)))
+    lon = r.uniform(-180, 180, n)
+    lat[:2], lon[:2] = (89.9, -89.9), (10.0, 179.99)
+    plat = np.concatenate([np.degrees(np.arcsin(r.uniform(-1, 1, 300))), [90.0, -90.0, 89.0, 0.0, 0.0, lat[2]]])
+    plon = np.concatenate([r.uniform(-180, 180, 300), [0.0, 0.0, -170.0, 180.0, -180.0, lon[2]]])
+    c = spark.createDataFrame([(i, float(lat[i]), float(lon[i]), f"p{i}") for i in range(n)], "line_no long, lat double, lon double, place string")
+    p = spark.createDataFrame([(i, float(plat[i]), float(plon[i])) for i in range(len(plat))], "key long, lat double, lon double")
+    a, b = np.radians(plat)[:, None], np.radians(lat)[None, :]
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon[None, :] - plon[:, None]) / 2) ** 2
+    want = 2 * 6_371_000 * np.arcsin(np.minimum(1, np.sqrt(h)))
+    got = {x.key: x for x in places.nearest_place(p, c).collect()}
+    assert len(got) == len(plat)
+    for i in range(len(plat)):
+        assert got[i].distance_m == pytest.approx(want[i].min(), abs=0.01) and want[i, got[i].line_no] == pytest.approx(want[i].min(), abs=0.01)
+
+
+def test_slots_about_hits():
+    """A hit of unknown length is held to no end; pins go before unpins; a swap keeps to its media."""
+    assert timeline.fill_span(Hit("a", 1.0, 30.0), 2.0).start == 29.0
+    base = [timeline.Slot("a", "video", 0.0, 5.0, 9.0), timeline.Slot("b", "video", 0.0, 5.0, 9.0)]
+    out = timeline.apply_ops(base, [{"op": "unpin", "slot": 1}, {"op": "pin", "slot": 1}])
+    assert not out[0].pinned
+    out = timeline.apply_ops(base, [{"op": "swap", "slot": 1}], {1: [Hit("short", 1.0, 1.0, 3.0)]})
+    assert out[0].asset == "short" and out[0].duration == 3.0
 
 
 def clicks(bpm, secs=30, seed=1):
