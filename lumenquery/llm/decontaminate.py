@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import as_bytes, chunks
+from .io import as_bytes, chunks, doc_and_text
 from .kernels import as_long, window_hashes, word_hashes
 
 #: Words of a seed; the chance of a rare one at a place; seeds that an item keeps at least.
@@ -185,14 +185,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -
         if (seeds := _seeds(docs, block)) is None:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
+        sent, columns = doc_and_text(docs, cols)
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared, columns=columns) -> Iterator[pa.RecordBatch]:
             s = shared.value
             for b in chunks(batches):
                 clean = pa.array([not s.found(w, score) for w in normal_words(as_bytes(b))], pa.bool_())
-                yield pa.RecordBatch.from_arrays(b.filter(clean).column(0).flatten(), names=cols)
+                yield pa.RecordBatch.from_arrays(columns(b.filter(clean)), names=cols)
 
-        docs = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(keep, docs.schema)
+        docs = docs.select(*sent).mapInArrow(keep, docs.schema)
     return docs
 
 

@@ -6,12 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Type of row_key().
 ROW_KEY = "struct<a:bigint,b:bigint>"
@@ -68,6 +69,22 @@ def _clear(spark: SparkSession) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def doc_and_text(docs: DataFrame, cols: list[str]) -> tuple[list[Column], Callable[[pa.RecordBatch], list[pa.Array]]]:
+    """Columns doc and text to send to Python, and what gives the columns cols back from a batch that starts with them.
+
+    A text column that is a string already is sent as text only, so that batches hold it once.
+    """
+    schema = docs.select(*cols).schema
+    beside = [c for c in cols if not (c.lower() == "text" and schema[c].dataType == StringType())]
+    doc = F.struct(*beside) if beside else F.lit(True)
+
+    def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+        parts = dict(zip(beside, batch.column(0).flatten(), strict=True)) if beside else {}
+        return [parts[c] if c in parts else batch.column(1) for c in cols]
+
+    return [doc.alias("doc"), F.col("text").cast("string").alias("text")], columns
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", bytes_at_once: int = 8 << 20, rows_at_once: int = 2048) -> Iterator[pa.RecordBatch]:
     """Split batches so that one holds about bytes_at_once of the text column, or one row."""
     for batch in batches:

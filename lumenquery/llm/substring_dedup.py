@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import as_bytes, chunks, cut, row_key
+from .io import as_bytes, chunks, cut, doc_and_text, row_key
 from .kernels import as_long, span_hash, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -187,15 +187,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     made = ["n_words", "n_removed", "kept_text"]
     kept = [c for c in docs.columns if c.lower() not in made]
-    keyed = docs.select(F.struct(*kept).alias("doc"), F.col("text").cast("string").alias("text"), row_key()["a"].alias("__row"))
+    schema = docs.select(*kept).schema
+    sent, columns = doc_and_text(docs, kept)
+    keyed = docs.select(*sent, row_key()["a"].alias("__row"))
     hit, miss = _only(keyed, repeated_spans(docs))
     both = hit.select("doc", "text", "__list")
     if miss is not None:
         both = both.unionByName(miss.select("doc", "text", F.lit(None).cast(both.schema["__list"].dataType).alias("__list")))
-    schema = docs.select(*kept).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, bytes_at_once=2 << 20):
             n, gone, left = [], [], []
             for t, spans in zip(as_bytes(b), b.column(2).to_pylist(), strict=True):
                 words = (t or b"").split()
@@ -206,6 +208,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 n.append(total)
                 gone.append(total - len(words))
                 left.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, *made])
+            yield pa.RecordBatch.from_arrays([*columns(b), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=[*kept, *made])
 
     return both.mapInArrow(emit, schema)
