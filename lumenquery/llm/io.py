@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +86,13 @@ def doc_and_text(docs: DataFrame, cols: list[str]) -> tuple[list[Column], Callab
     return [doc.alias("doc"), F.col("text").cast("string").alias("text")], columns
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers stay alive between stages and would keep their largest batch's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", bytes_at_once: int = 8 << 20, rows_at_once: int = 2048) -> Iterator[pa.RecordBatch]:
     """Split batches so that one holds about bytes_at_once of the text column, or one row."""
     for batch in batches:
@@ -99,6 +107,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", bytes_at_onc
                 at, size = i, 0
             size += n
         yield batch.slice(at)
+        _give_back()
 
 
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
