@@ -584,3 +584,19 @@ def test_empty_tables(spark):
 def test_sha_of_kept_text(spark):
     out = substring_dedup.remove_repeats(docs_of(spark, [(1, "a  b\nc")])).select(F.sha2("kept_text", 256).alias("h")).first()
     assert out.h == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_texts_travel_once(spark):
+    """Columns come back as they were, whatever the type and name of the text and of the columns beside it."""
+    text, long = "a b  c", " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "x"), (2, None, None), (3, long, "y"), (4, long, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, doc string")
+    bench = spark.createDataFrame([(1, "nothing of the kind is anywhere here")], "item_id long, text string")
+    for d in (docs, docs.withColumn("Text", F.col("Text").cast("binary")), docs.select("doc_id", "Text"), docs.select("doc", "Text", "doc_id")):
+        want = sorted(map(str, d.collect()))
+        out = substring_dedup.remove_repeats(d)
+        assert out.columns == [*d.columns, "n_words", "n_removed", "kept_text"]
+        assert sorted(map(str, out.select(*d.columns).collect())) == want
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out.collect()} == {1: (3, 0, "a b c"), 2: (0, 0, ""), 3: (40, 40, ""), 4: (40, 40, "")}
+        clean = decontaminate.decontaminate(d, bench)
+        assert clean.schema.names == d.columns and sorted(map(str, clean.collect())) == want
