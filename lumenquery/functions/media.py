@@ -48,8 +48,8 @@ def gps_decimal(d: Column, m: Column, s: Column, ref: Column) -> Column:
 
 
 def shutter(num: Column, den: Column) -> Column:
-    """1/d for unit numerators, else seconds with three decimals; null for a zero denominator (X11)."""
-    return F.when(den == 0, None).when(num == 1, F.concat(F.lit("1/"), den.cast("long").cast("string"))).otherwise(F.format_string("%.3f", num / den))
+    """1/d for unit numerators, else seconds with three decimals; null for a zero denominator or without numbers (X11)."""
+    return F.when(num.isNull() | den.isNull() | (den == 0), None).when(num == 1, F.concat(F.lit("1/"), den.cast("long").cast("string"))).otherwise(F.format_string("%.3f", num / den))
 
 
 def signed_altitude(metres: Column, ref: Column) -> Column:
