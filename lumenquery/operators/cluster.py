@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, dot
+from .blocks import exact_dot, matrix, meet, slack, tiles
 from .dupes import groups, similar_pairs
 
 
@@ -99,13 +101,33 @@ def wide_exemplars(sized: DataFrame, k: int) -> DataFrame:
 def attach(unassigned: DataFrame, chosen: DataFrame, rejections: DataFrame, limit: float = 0.5) -> DataFrame:
     """face_id, person_id and distance of the nearest person within limit that the face wasn't rejected for.
 
-    Exemplars are a few per person, so they are the side that is broadcast when small;
-    the best is a grouped minimum. Ties go to the smaller person.
+    Blocks of faces meet blocks of exemplars; one row per face and block leaves a task, and
+    the best is a grouped minimum. Rejected people travel with their face. Ties go to the smaller person.
     """
-    e = chosen.select("person_id", F.col("vector").alias("ev"))
-    d = 1 - dot(F.col("vector"), F.col("ev"))
-    near = unassigned.select("face_id", "vector").join(e, F.size("vector") == F.size("ev")).select("face_id", "person_id", d.alias("distance")).where(F.col("distance") <= limit)
-    near = near.join(rejections.select("face_id", "person_id"), ["face_id", "person_id"], "left_anti")
+    no = rejections.where("person_id is not null").groupBy("face_id").agg(F.collect_set("person_id").alias("no"))
+    faces = unassigned.select("face_id", "vector").join(no, "face_id", "left")
+
+    def nearest(ft: pa.Table, et: pa.Table, width: int) -> pa.Table:
+        faces, people = ft.column("face_id").to_numpy(), et.column("person_id").to_numpy()
+        x, y = matrix(ft.column("vector"), width), matrix(et.column("vector"), width)
+        barred = [(i, n) for i, n in enumerate(ft.column("no").to_pylist()) if n]
+        eps = slack(x, y)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for r, c, s in tiles(x, y):
+            s[np.isnan(s)] = -np.inf
+            for i, n in barred:
+                if r <= i < r + len(s):
+                    s[i - r, np.isin(people[c : c + s.shape[1]], n)] = -np.inf
+            i, j = np.nonzero((s >= s.max(axis=1, keepdims=True) - eps) & (s >= 1 - limit - eps))
+            i, j = i + r, j + c
+            d = 1 - exact_dot(x, i, y, j)
+            out.append((i[d <= limit], people[j[d <= limit]], d[d <= limit]))
+        i, person, d = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        best = np.lexsort((person, d, i))
+        best = best[np.unique(i[best], return_index=True)[1]]
+        return pa.table({"face_id": pa.array(faces[i[best]], pa.int64()), "person_id": pa.array(person[best], pa.int64()), "distance": d[best]})
+
+    near = meet(faces, "face_id", chosen.where("person_id is not null").select("person_id", "vector"), "vector", nearest, "face_id long, person_id long, distance double")
     best = near.groupBy("face_id").agg(F.min(F.struct("distance", "person_id")).alias("b"))
     return best.select("face_id", "b.person_id", "b.distance")
 
