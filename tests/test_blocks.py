@@ -1,8 +1,12 @@
 """Operators on all pairs, blocked: brute force, and what leaves their tasks."""
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from lumenquery.operators import cluster
+from lumenquery.operators import blocks, cluster, dupes
+from lumenquery.plans import catalogue
 
 
 def vectors(n, width=8, seed=1):
@@ -30,3 +34,73 @@ def test_attach_meets_in_blocks(spark):
             want[i] = min(left)[1]
     assert {r.face_id: r.person_id for r in got.collect()} == want and 100 < len(want)
     assert "Join Inner" not in plan(got)
+
+
+def embeddings(tmp_path, n):
+    """A folder with embeddings of n vectors, its last video short of frames."""
+    x = vectors(n, 64, 5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (vec_id BIGINT, embedding FLOAT[], label INT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, v.tolist(), i % 10) for i, v in enumerate(x)])
+    con.execute(f"COPY t TO '{tmp_path}/embeddings.parquet'")
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM t")
+    return con
+
+
+@pytest.mark.parametrize("name", ["video_similarity", "pair_report", "near_dup_pairs", "near_dup_groups", "exemplar_attach"])
+def test_queries_match_sql_with_a_short_last_video(spark, tmp_path, name):
+    con = embeddings(tmp_path, 601)
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("asks", ["shorter", "first"])
+def test_videos_by_brute_force(spark, asks):
+    """Lengths and widths differ, times repeat."""
+    r = np.random.default_rng(4)
+    long = [vectors(int(r.integers(1, 9)), 4, 100 + i) for i in range(30)] + [vectors(60, 4, 8), vectors(40, 4, 9)]
+    videos = {i: [(float(t // 2), v) for t, v in enumerate(x)] for i, x in enumerate(long)}
+    videos[40] = [(0.0, np.array([1.0, 0.0])), (1.0, long[3][0])]
+    videos[41] = [(0.0, np.array([0.8, 0.6])), (5.0, long[3][0])]
+    rows = [(a, t, v.tolist()) for a, f in videos.items() for t, v in f]
+    f = spark.createDataFrame(rows, "asset_id long, ts_secs double, vector array<double>").repartition(3)
+    got = {(x.a, x.b): x.score for x in dupes.video_similarity(f, 0.2, asks, block=40).collect()}
+    want = {}
+    for a in videos:
+        for b in videos:
+            if a < b:
+                p, q = (a, b) if asks == "first" or len(videos[a]) <= len(videos[b]) else (b, a)
+                best = {}
+                for t, v in videos[p]:
+                    best[t] = max([best.get(t, -np.inf)] + [float(v @ w) if len(v) == len(w) else dupes.LOWEST for _, w in videos[q]])
+                if (s := float(np.mean(list(best.values())))) >= 0.2:
+                    want[a, b] = s
+    assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tiles_cut_through_videos(monkeypatch):
+    x = vectors(90, 4, 8)
+    ids, ts = np.sort(np.random.default_rng(1).integers(0, 9, 90)), np.arange(90) // 2.0
+    clips = dupes._Clips(pa.table({"asset_id": ids, "ts": ts, "vector": pa.array(x.tolist(), pa.list_(pa.float64()))}), -1)
+    scores = lambda: np.vstack([s[np.argsort(v)] for v, s in dupes._ask(clips, clips) if len(v)])
+    whole = scores()
+    for tile in (1, 7, 32):
+        monkeypatch.setattr(dupes, "TILE", tile)
+        assert whole.shape == (9, 9) and np.allclose(scores(), whole, atol=1e-12)
+
+
+def test_each_vector_is_sent_as_often_whatever_the_size(spark):
+    assert {blocks.count_blocks(n) for n in (10_000, 50_000, 300_000, 1_000_000)} == {blocks.SIDES}
+    assert blocks.self_blocks(spark.range(9000), "id", blocks.count_blocks(9000)).count() == 9000 * blocks.SIDES
+
+
+def test_links_grow_with_the_vectors(spark):
+    """600 near copies are 179,700 pairs; a star per two blocks joins them just as well."""
+    x = np.vstack([vectors(1, 8, 3) + 0.001 * vectors(600, 8, 4), vectors(400, 8, 6)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "asset_id long, vector array<double>").cache()
+    links = dupes.similar_links(v, 0.9, block=250)
+    assert links.count() <= 4 * 1000
+    key = lambda g: sorted(map(tuple, g.collect()))
+    assert key(dupes.groups(links)) == key(dupes.groups(dupes.similar_pairs(v, 0.9)))
