@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenquery.operators import blocks, cluster, dupes
+from lumenquery.operators import blocks, cluster, dupes, search
 from lumenquery.plans import catalogue
 
 
@@ -104,3 +104,19 @@ def test_links_grow_with_the_vectors(spark):
     assert links.count() <= 4 * 1000
     key = lambda g: sorted(map(tuple, g.collect()))
     assert key(dupes.groups(links)) == key(dupes.groups(dupes.similar_pairs(v, 0.9)))
+
+
+def test_retrieval_eval_meets_in_blocks(spark):
+    """Ranks by all pairs with copies of targets, an absent target and a query without a vector; no join makes all pairs."""
+    x = vectors(900, 8, 2)
+    x[600:] = x[:300]  # copies score the same as the target
+    images = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (900, None), (901, [1.0, 0.0])], "asset_id long, vector array<double>")
+    asked = [(i, (3 * i + 7) % 900) for i in range(0, 900, 4)]
+    q = spark.createDataFrame([*[(i, t, x[i].tolist()) for i, t in asked], (1000, 5000, x[0].tolist()), (1001, 3, None)], "query_id long, target long, vector array<double>")
+    s = np.round(x @ x.T, 12)
+    ranks = [1 + int((np.delete(s[i], t) > s[i, t]).sum()) for i, t in asked] + [1]
+    got = search.retrieval_eval(q, images)
+    r = got.first()
+    assert r.n == len(ranks) and [r.recall_1, r.recall_5, r.recall_10] == pytest.approx([np.mean(np.array(ranks) <= k) for k in (1, 5, 10)])
+    assert r.mrr == pytest.approx(np.mean(1 / np.array(ranks)))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
