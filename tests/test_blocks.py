@@ -120,3 +120,33 @@ def test_retrieval_eval_meets_in_blocks(spark):
     assert r.n == len(ranks) and [r.recall_1, r.recall_5, r.recall_10] == pytest.approx([np.mean(np.array(ranks) <= k) for k in (1, 5, 10)])
     assert r.mrr == pytest.approx(np.mean(1 / np.array(ranks)))
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sweeps_over_a_scratch_file():
+    """Labels as whispers has them, component by component, from rows in any order; a node's neighbours come in parts."""
+    r = np.random.default_rng(9)
+    n, edges = 90, {}
+    for lo, hi in ((0, 50), (50, 80), (80, 86)):
+        for _ in range(hi - lo):
+            i, j = sorted(r.integers(lo, hi, 2).tolist())
+            if i != j:
+                edges[i, j] = float(np.float32(r.uniform(0.3, 1)))
+    want = {}
+    for lo, hi in ((0, 50), (50, 80), (80, 86)):
+        e = [(i, j, w) for (i, j), w in edges.items() if lo <= i < hi]
+        want |= cluster.whispers(sorted({x for a, b, _ in e for x in (a, b)}), e, n)
+    rows = {}
+    for (i, j), w in edges.items():
+        rows.setdefault((i, j // 7), []).append((j, w))
+        rows.setdefault((j, i // 7), []).append((i, w))
+    rows = [(i, part, sorted(x)) for (i, part), x in rows.items()]
+    rows = [rows[k] for k in r.permutation(len(rows))]
+    batch = lambda x: pa.RecordBatch.from_pydict({"i": [a for a, _, _ in x], "part": [b for _, b, _ in x], "js": pa.array([[j for j, _ in c] for _, _, c in x], pa.list_(pa.int64())), "ws": pa.array([[w for _, w in c] for _, _, c in x], pa.list_(pa.float32()))})
+    nodes, label = cluster.sweep_stored(iter([batch(rows[:40]), batch(rows[40:])]), n)
+    assert dict(zip(nodes.tolist(), label.tolist(), strict=True)) == want and 2 < len(set(want.values())) < len(want)
+
+
+def test_ids_are_ranked_without_one_task(spark):
+    ids = np.random.default_rng(2).permutation(5000) * 3 - 4000
+    ranked = cluster.ranked_ids(spark.createDataFrame([(int(i),) for i in ids], "face_id long").repartition(6))
+    assert [tuple(r) for r in ranked.orderBy("face_id").collect()] == [(int(f), i) for i, f in enumerate(np.sort(ids))]
